@@ -81,11 +81,11 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first window) of the runs of windows with the same smallest k-gram hash; a text shorter than a window has none."""
+def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window) of the runs of windows with the same smallest k-gram hash, and all k-gram hashes; a text shorter than a window has no runs."""
     n = len(text)
     if n < length:
-        return np.array([], np.int64), np.array([], np.int64)
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.uint64)
     one = MIX[np.frombuffer(text, np.uint8)]
     # hash of 20 bytes from those of 1, 2, 4, 8 and 16 bytes
     parts, h = {1: one}, one
@@ -98,14 +98,42 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     h *= ODD
     h ^= h >> np.uint64(29)
     # the smallest of the next length - GRAM + 1 hashes
-    wide, have = length - GRAM + 1, 1
+    wide, have, grams = length - GRAM + 1, 1, h
     while 2 * have <= wide:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
     if have < wide:
         h = np.minimum(h[: len(h) - (wide - have)], h[wide - have :])
     first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-    return h[first].view(np.int64), first
+    return h[first].view(np.int64), first, grams
+
+
+def gram_places(grams: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """For runs of windows first to last, where in the segment the smallest k-gram stands; -1 if it stands there more than once."""
+    wide = length - GRAM + 1
+    at = first[:, None] + np.arange(2 * wide)
+    own = np.where(at <= (last + wide - 1)[:, None], grams[np.minimum(at, len(grams) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
+    place = own.argmin(1)
+    more = (own == own[np.arange(len(own)), place][:, None]).sum(1) > 1
+    return np.where(more | (last - first >= wide), -1, place)
+
+
+def alike(segments: list[bytes], places: list[int], length: int) -> list[bool]:
+    """Whether a segment may share a window with another of the same hash.
+
+    A shared window holds the k-gram and, left or right of it, at least half of its other bytes; so both segments agree in
+    those. Where the k-gram's place is not unique all segments stay."""
+    if min(places) < 0:
+        return [True] * len(segments)
+    half = (length - GRAM) // 2
+    left = [x[g - half : g + GRAM] if g >= half else None for x, g in zip(segments, places, strict=True)]
+    right = [x[g : g + GRAM + half] if g + GRAM + half <= len(x) else None for x, g in zip(segments, places, strict=True)]
+    counts: dict = {}
+    for x in left:
+        counts[x, 0] = counts.get((x, 0), 0) + 1
+    for x in right:
+        counts[x, 1] = counts.get((x, 1), 0) + 1
+    return [(a is not None and counts[a, 0] > 1) or (b is not None and counts[b, 1] > 1) for a, b in zip(left, right, strict=True)]
 
 
 #: Seeded numbers for the bytes, and an odd multiplier.
@@ -174,7 +202,7 @@ def in_portions(segments: list[bytes], docs: list[int], length: int) -> list[lis
 
 
 def _resolve(length: int):
-    """Rows (h, seg, doc_id, at, least), those of a hash and segment together, to (doc_id, start, end) of covered bytes."""
+    """Rows (h, seg, doc_id, at, gram, least), those of a hash and segment together, to (doc_id, start, end) of covered bytes."""
 
     def run(batches):
         import pyarrow as pa
@@ -202,28 +230,36 @@ def _resolve(length: int):
                 x.clear()
             return made
 
-        now, segments, docs, places = None, [], [], []
+        def wait(segments: list[bytes], docs: list[int], places: list[list[int]], grams: list[int]) -> int:
+            """Put the segments of a hash that may share windows in line; how many bytes they have."""
+            if len(segments) < 2:
+                return 0
+            keep = alike(segments, grams, length)
+            if not any(keep):
+                return 0
+            waiting.append(tuple([v for v, k in zip(x, keep, strict=True) if k] for x in (segments, docs, places)))
+            return sum(map(len, waiting[-1][0]))
+
+        now, segments, docs, places, grams = None, [], [], [], []
         for batch in batches:
-            for h, seg, doc, at, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, seg, doc, at, gram, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != now:
-                    if len(segments) > 1:
-                        waiting.append((segments, docs, places))
-                        size += sum(map(len, segments))
-                        if size > BATCH:
-                            sort_all()
-                            size = 0
-                    now, segments, docs, places = h, [], [], []
+                    size += wait(segments, docs, places, grams)
+                    if size > BATCH:
+                        sort_all()
+                        size = 0
+                    now, segments, docs, places, grams = h, [], [], [], []
                 if not segments or seg != segments[-1]:
                     segments.append(seg)
                     docs.append(least)
                     places.append([])
+                    grams.append(gram)
                 if doc == least:
                     places[-1].append(at)
                 else:
                     cover(doc, at, at + len(seg))
             yield flush()
-        if len(segments) > 1:
-            waiting.append((segments, docs, places))
+        wait(segments, docs, places, grams)
         if waiting:
             sort_all()
         yield flush()
@@ -268,9 +304,9 @@ def spans(docs: DataFrame, length: int = 50, hashes: DataFrame | None = None) ->
 
         for batch in batches:
             ids, rows, lists = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, own in zip(ids, rows, lists, strict=True):
-                h, first = runs(text, length)
+                h, first, grams = runs(text, length)
                 ends = np.append(first[1:], len(text) - length + 1) - 1 + length
                 keep = np.isin(h, np.array(own, np.int64))
                 a, b = first[keep].tolist(), ends[keep].tolist()
@@ -278,6 +314,7 @@ def spans(docs: DataFrame, length: int = 50, hashes: DataFrame | None = None) ->
                 out[1].extend([text[i:j] for i, j in zip(a, b, strict=True)])
                 out[2].extend([doc] * len(a))
                 out[3].extend(a)
+                out[4].extend(gram_places(grams, first[keep], ends[keep] - length, length).tolist() if a else [])
                 if len(out[0]) > 50_000:
                     yield pack(out)
             yield pack(out)
@@ -285,15 +322,15 @@ def spans(docs: DataFrame, length: int = 50, hashes: DataFrame | None = None) ->
     def pack(out):
         import pyarrow as pa
 
-        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["h", "seg", "doc_id", "at"])
+        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())], ["h", "seg", "doc_id", "at", "gram"])
         for x in out:
             x.clear()
         return made
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.join(wanted, "doc_id").select("doc_id", "text", "hs").mapInArrow(cut, "h long, seg binary, doc_id long, at long").repartition(parts, "h")
+    found = texts.join(wanted, "doc_id").select("doc_id", "text", "hs").mapInArrow(cut, "h long, seg binary, doc_id long, at long, gram int").repartition(parts, "h")
     found = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "seg"))).sortWithinPartitions("h", "seg")
-    covered = stage(found.select("h", "seg", "doc_id", "at", "least").mapInArrow(_resolve(length), "doc_id long, start long, end long").distinct(), "covered")
+    covered = stage(found.select("h", "seg", "doc_id", "at", "gram", "least").mapInArrow(_resolve(length), "doc_id long, start long, end long").distinct(), "covered")
     merged = covered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x"))
 
     def merge(batches):
