@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import stage
 
 #: Bytes of one k-gram, of segments sorted at a time, and of one hash's segments beyond which they are sorted in portions.
-GRAM, BATCH, PORTION = 20, 1 << 15, 1 << 22
+GRAM, BATCH, PORTION = 20, 1 << 9, 1 << 22
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -40,6 +40,23 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n - 1
     while end >= 0:
         start = group[order[end]]
+        if start == end:  # most groups hold one suffix
+            s = order[end]
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                g = group[p]
+                size[g] -= 1
+                last = g + size[g]
+                if last != g:
+                    other, k = order[last], at[p]
+                    order[k], order[last], at[other], at[p] = other, p, k, last
+                    group[p] = last
+                size[last] += 1
+            end -= 1
+            continue
         pointers: dict[int, int] = {}
         for s in sorted(order[start : end + 1]):
             p = s - 1
