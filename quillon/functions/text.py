@@ -67,3 +67,19 @@ SQL_NORMALIZE = f"lower(strip_accents(translate({SQL_BARE}, '’‘`´ʼ' || chr
 
 def sql_normalize(column: str) -> str:
     return SQL_NORMALIZE.format(column)
+
+
+def byte_size(n: str) -> Column:
+    """A size in bytes as people read it: one decimal below ten units of kilobytes, and for megabytes."""
+    c = F.col(n)
+    return (
+        F.when(c < 1024, F.concat(c.cast("string"), F.lit(" o")))
+        .when(c < 10240, F.concat(F.round(c / 1024, 1).cast("string"), F.lit(" Ko")))
+        .when(c < 1048576, F.concat(F.round(c / 1024).cast("long").cast("string"), F.lit(" Ko")))
+        .otherwise(F.concat(F.round(c / 1048576, 1).cast("string"), F.lit(" Mo")))
+    )
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once a row: it is bound to a lambda's variable, so the optimizer cannot copy it into each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -16,9 +16,10 @@ def term_table(docs: DataFrame, key: str, text: str, terms: list[str], prefix_fr
     """(key, len, tf_0, tf_1, ...): document length in words and each term's frequency; one pass, no shuffle.
 
     A term of at least ``prefix_from`` letters also counts words that it begins."""
-    words = docs.select(key, tx.tokens(tx.normalize(F.col(text))).alias("w"))
-    counts = [F.size(F.filter("w", (lambda t: (lambda x: x.startswith(t)) if len(t) >= prefix_from else (lambda x: x == t))(t))).alias(f"tf_{k}") for k, t in enumerate(terms)]
-    return words.select(key, F.size("w").alias("len"), *counts)
+    test = lambda t: (lambda x: x.startswith(t)) if len(t) >= prefix_from else (lambda x: x == t)
+    count = lambda w: F.array(F.size(w), *[F.size(F.filter(w, test(t))) for t in terms])
+    found = docs.select(key, tx.once(tx.tokens(tx.normalize(F.col(text))), count).alias("n"))
+    return found.select(key, F.col("n")[0].alias("len"), *[F.col("n")[k + 1].alias(f"tf_{k}") for k in range(len(terms))])
 
 
 def bm25(table: DataFrame, key: str, n_terms: int, weights: list[float] | None = None) -> DataFrame:
@@ -58,13 +59,38 @@ def cut_vector(v: Column, size: int) -> Column:
     return F.transform(part, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """Top n of ``vectors`` (vec_id, v) for each of few ``queries`` (query_id, q): (query_id, vec_id, cosine, rank).
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, block: int = 256, lot: int = 4096) -> DataFrame:
+    """Exact top n of ``vectors`` (vec_id, v) for each of ``queries`` (query_id, q): (query_id, vec_id, cosine, rank); a vector is not its own neighbour.
 
-    The question side must be small: it is sent to every task; the corpus side is never shuffled before the cut to n."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    pairs = vectors.crossJoin(queries).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("cosine"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    Queries stand in blocks of about ``block`` rows, vectors in lots of about ``lot``; a block meets a lot in one matrix product of
+    which only n rows a query leave, so neither side is broadcast and no pair is a row."""
+    blocks, lots = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (vectors, lot)))
+    gather = lambda key, v: F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(v).alias("v")))
+    left = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(gather("query_id", "q").alias("qs"))
+    right = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(lots)).alias("lot")).agg(gather("vec_id", "v").alias("vs"))
+    pairs = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(left, "block").select("qs", "vs")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def side(column, k):
+            rows = column[k].values
+            return np.asarray(rows.field("id")), np.asarray(rows.field("v").flatten(), float).reshape(len(rows), -1)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (qi, q), (vi, v) = side(batch.column(0), k), side(batch.column(1), k)
+                cosine = q @ v.T
+                cosine[qi[:, None] == vi[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(vi, cosine.shape), -cosine), axis=1)[:, :n]
+                made = np.take_along_axis(cosine, order, 1)
+                keep = (made > -np.inf).ravel()
+                cols = np.repeat(qi, order.shape[1])[keep], vi[order].ravel()[keep], made.ravel()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "cosine"])
+
+    near = pairs.mapInArrow(run, "query_id long, vec_id long, cosine double")
+    return cap(near, "query_id", n, F.desc("cosine"), "vec_id")
 
 
 def fuse(vector: DataFrame, words: DataFrame, key: str, word_weight: float = 0.5, k: int = 60) -> DataFrame:
@@ -84,3 +110,38 @@ def interleave(lists: DataFrame, key: str, n: int) -> DataFrame:
     first = lists.groupBy(key).agg(F.min(F.struct("rank", "list")).alias("at"))
     top = first.orderBy("at.rank", "at.list", key).limit(n)
     return top.select(F.row_number().over(Window.orderBy("at.rank", "at.list", key)).alias("position"), key)
+
+
+def weighted_bm25(df: DataFrame, key: str, columns: dict[str, float], terms: list[str]) -> DataFrame:
+    """(key, score) over several word columns: frequencies are weighted by column, lengths are not, idf is at least 1e-6."""
+    n = lambda c, t: F.size(F.filter(c, lambda x: x == t))
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    rows = df.select(key, add([F.size(c) for c in columns]).alias("len"), *[add([F.lit(w) * n(c, t) for c, w in columns.items()]).alias(f"tf_{k}") for k, t in enumerate(terms)])
+    stats = rows.agg(F.count("*").alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"n_{k}") for k in range(len(terms))])
+    parts = []
+    for k in range(len(terms)):
+        f, m = F.col(f"tf_{k}"), F.col(f"n_{k}")
+        parts.append(F.greatest(F.ln((F.col("N") - m + 0.5) / (m + 0.5)), F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
+    return rows.crossJoin(F.broadcast(stats)).select(key, add(parts).alias("score")).where("score > 0")
+
+
+def questions(asked: DataFrame, index: DataFrame, n: int, most: int = 10) -> DataFrame:
+    """Top n documents of many questions: asked (item_id, asked, term) meets postings (doc_id, term, tf) on the term.
+
+    Score: 100 for each word of the question, one for each hit up to ``most`` a word. A frequent word is split by the skew join."""
+    found = asked.join(index, "term").groupBy("item_id", "doc_id").agg(F.max("asked").alias("asked"), F.count("*").alias("n_terms"), F.sum(F.least("tf", F.lit(most))).alias("hits"))
+    found = found.withColumn("score", 100 * F.col("n_terms") + F.col("hits"))
+    return cap(found, "item_id", n, F.desc("score"), "doc_id")
+
+
+def contained(rows: DataFrame, words: str, table: DataFrame, expression: str) -> DataFrame:
+    """rows x table where all words of an expression are among a row's words; joined on the expression's first word."""
+    own = rows.withColumn("_w", F.explode(F.array_distinct(words)))
+    return own.join(table.withColumn("_w", F.get(expression, F.lit(0))), "_w").where(F.size(F.array_except(expression, words)) == 0).drop("_w")
+
+
+def grouped(found: DataFrame, by: str, n: int, *order) -> DataFrame:
+    """(by, level, passages): the first n results of each group in order; the group's level is its first result's."""
+    top = cap(found, by, n, *order)
+    passages = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",")
+    return top.groupBy(by).agg(F.min_by("level", "rank").alias("level"), passages.alias("passages"))

@@ -19,17 +19,57 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
-def retain(events: DataFrame, since: Column, newest: int, order: tuple) -> DataFrame:
-    """Rows not older than ``since``, of those the newest ones."""
-    return events.where(F.col("ts") >= since).orderBy(*order).limit(newest)
+def retain(events: DataFrame, days: int, newest: int) -> DataFrame:
+    """Rows not older than ``days`` before the last one, of those the newest ones (ties: the higher event_id)."""
+    last = events.agg(F.max("ts").alias("_last"))  # one row
+    young = events.crossJoin(F.broadcast(last)).where(F.expr(f"ts >= _last - interval {days} days")).drop("_last")
+    return young.orderBy(F.desc("ts"), F.desc("event_id")).limit(newest)
+
+
+def feed(events: DataFrame, since: int, generation: int, known: int) -> DataFrame:
+    """What a reader lacks: rows after ``since`` if it knows this generation, else all rows."""
+    return events.where(F.col("event_id") > since) if generation == known else events
+
+
+def changes(present: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, action) for tables with size and hash: new, deleted, changed, same_hash (another size, yet the same content) or keep."""
+    a, b = present.select(key, F.col("size").alias("_s"), F.col("hash").alias("_h")), known.select(key, F.col("size").alias("_t"), F.col("hash").alias("_g"))
+    action = F.when(F.col("_t").isNull(), "new").when(F.col("_s").isNull(), "deleted").when(F.col("_s") == F.col("_t"), "keep").when(F.col("_h") == F.col("_g"), "same_hash").otherwise("changed")
+    return a.join(b, key, "full_outer").select(key, action.alias("action"))
+
+
+def merged(intervals: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, n): overlapping and touching intervals of a key put together."""
+    w = Window.partitionBy(key).orderBy("start")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+
+
+def overlaps(nets: DataFrame, masks: list[int]) -> DataFrame:
+    """(a, b) of networks (id, base, bits) that overlap: equal on the shorter mask. Joined on that prefix, not pair by pair."""
+    shorter = nets.select(F.col("id").alias("a"), F.col("bits").alias("m"), F.expr("shiftright(base, 32 - bits)").alias("prefix"))
+    each = nets.withColumn("m", F.explode(F.array(*[F.lit(x) for x in masks]))).where("m <= bits")
+    longer = each.select(F.col("id").alias("b"), "bits", "m", F.expr("shiftright(base, 32 - m)").alias("prefix"))
+    found = shorter.join(longer, ["m", "prefix"]).where("a <> b and (bits > m or a < b)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def variants(packs: DataFrame, entries: DataFrame) -> DataFrame:
+    """packs (name, variant, ...) with ``entry``, the first entry (name, variant, entry) of the name with the same variant or ``-``."""
+    first = entries.groupBy("name", "variant").agg(F.min("entry").alias("entry"))
+    anyone = first.where("variant = '-'").select("name", F.col("entry").alias("_any"))
+    found = packs.join(first, ["name", "variant"], "left").join(anyone, "name", "left")
+    return found.withColumn("entry", F.least("entry", "_any")).drop("_any")
 
 
 def islands(events: DataFrame, key: str, state: Column) -> DataFrame:
-    """(key, state, first, last, n): stretches of events in the same state, by time."""
+    """(key, state, first, last, first_id, n): stretches of events in the same state, by time."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
     marked = events.withColumn("state", state).withColumn("turn", F.coalesce((F.col("state") != F.lag("state").over(w)).cast("int"), F.lit(1)))
     numbered = marked.withColumn("island", F.sum("turn").over(w))
-    return numbered.groupBy(key, "island", "state").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return numbered.groupBy(key, "island", "state").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.min("event_id").alias("first_id"), F.count("*").alias("n"))
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
@@ -37,12 +77,38 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("s")
 
 
-def accepted(events: DataFrame, key: str, seconds: float) -> DataFrame:
-    """Events that a rate limit lets through: at least so long after the last accepted one of the key.
-
-    The state is one time per key: a fold over the key's events in time order."""
+def accepted(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, event_id) that a rate limit lets through: at least so long after the last accepted one of the key.
 
-    ordered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("t"), "event_id"))).alias("x"))
+    An event so long after the one before it is accepted whatever came earlier, so a fold need only see one burst: a key's events
+    are cut there, and no key is gathered whole."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    free = F.expr(f"coalesce(ts >= _before + interval {seconds} seconds, true)")
+    cut = events.withColumn("_before", F.lag("ts").over(w)).withColumn("_burst", F.sum(free.cast("int")).over(w))
+    folded = cut.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("t"), "event_id"))).alias("x"))
     start = "named_struct('last', cast(null as timestamp_ntz), 'ok', cast(array() as array<bigint>))"
     step = f"if(a.last is null or e.t >= a.last + interval {seconds} seconds, named_struct('last', e.t, 'ok', array_append(a.ok, e.event_id)), a)"
-    return ordered.select(key, F.explode(F.expr(f"aggregate(x, {start}, (a, e) -> {step}, a -> a.ok)")).alias("event_id"))
+    return folded.select(key, F.explode(F.expr(f"aggregate(x, {start}, (a, e) -> {step}, a -> a.ok)")).alias("event_id"))
+
+
+def in_network(ip: Column, cidr: str) -> Column:
+    """Whether a dotted IPv4 address is in a network; null for what is no address."""
+    base, _, bits = cidr.partition("/")
+    net = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split("."))) >> (32 - int(bits))
+    parts = F.split(ip, "[.]")
+    number = sum((F.shiftleft(parts[k].cast("long"), 24 - 8 * k) for k in range(1, 4)), F.shiftleft(parts[0].cast("long"), 24))
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.shiftright(number, 32 - int(bits)) == net)
+
+
+def first_rule(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
+    """rows with ``answer`` of the first rule, by ordinal, all of whose patterns fit; ``*`` stands for anything. No rule: null.
+
+    The rules are a configuration table of a few rows, read into one expression, so the rows are not shuffled."""
+    answer = F.lit(None)
+    for rule in sorted(rules.limit(1000).collect(), key=lambda r: -r["ordinal"]):
+        fits = F.lit(True)
+        for name in fields:
+            pattern = "^" + "".join(".*" if x == "*" else "[" + x + "]" if x in ".+?()[]{}|$" else x for x in rule[name]) + "$"
+            fits = fits & F.col(f"_{name}").rlike(pattern)
+        answer = F.when(fits, F.lit(rule["answer"])).otherwise(answer)
+    return rows.withColumn("answer", answer)

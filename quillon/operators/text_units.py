@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
+from quillon.session import ship
+
 HEADING = r"^[\p{Lu}\p{N}].*"
 
 
@@ -41,7 +46,8 @@ def with_section(parts: DataFrame) -> DataFrame:
 
 def ngrams(words, n: int = 5):
     """Array of n-grams of an array of words, joined by a blank."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    some = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return tx.once(words, lambda w: F.when(F.size(w) >= n, some(w)).otherwise(F.array().cast("array<string>")))
 
 
 def packed_chunks(lines: DataFrame, target: int = 400, key: str = "doc_id") -> DataFrame:
@@ -50,3 +56,78 @@ def packed_chunks(lines: DataFrame, target: int = 400, key: str = "doc_id") -> D
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     at = F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / target)
     return lines.withColumn("chunk", at).groupBy(key, "chunk").agg(F.count("*").alias("n_blocks"), F.sum(size).alias("tokens"))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf): the inverted index. A word of a document is one row before the shuffle's second half."""
+    words = docs.select(key, F.explode(tx.tokens(tx.normalize(F.col(text)))).alias("term"))
+    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def pieces(block: str, most: int) -> list[str]:
+    """A block cut into parts of at most ``most`` tokens of four characters, at sentence ends, else at blanks, else anywhere."""
+    limit, out = 4 * most, []
+    while len(block) > limit:
+        ends = [m.end() for m in re.finditer(r"[.!?]\s", block[: limit + 1])] or [m.end() for m in re.finditer(r"\s", block[: limit + 1])]
+        cut = min(ends[-1], limit) if ends else limit
+        out.append(block[:cut].strip())
+        block = block[cut:]
+    return [x for x in [*out, block.strip()] if x]
+
+
+def pack_blocks(blocks: list[tuple[str, bool]], target: int = 400, overlap: int = 55, least: int = 25) -> list[tuple[str | None, str]]:
+    """(section, text) of each chunk: blocks are joined by a blank line up to ``target`` tokens; a heading closes a chunk of at
+    least ``least`` tokens; a chunk that follows another of its section begins with the last ``overlap`` tokens of that one's new text."""
+    out: list[tuple[str | None, str]] = []
+    section, tail, fresh = None, "", []
+    size = lambda x: -(-len(x) // 4)
+
+    def close(carry: bool) -> None:
+        nonlocal tail, fresh
+        if fresh:
+            new = "\n\n".join(fresh)
+            out.append((section, f"{tail}\n\n{new}" if tail else new))
+            tail = new[-4 * overlap :].partition(" ")[2] if carry else ""
+        elif not carry:
+            tail = ""
+        fresh = []
+
+    for text, heading in blocks:
+        if heading:
+            if size("\n\n".join(fresh)) >= least or not fresh:
+                close(False)
+                section = text
+                continue
+            fresh.append(text)
+            continue
+        for part in pieces(text, target - overlap) if size(text) > target else [text]:
+            if fresh and size("\n\n".join([tail, *fresh, part] if tail else [*fresh, part])) > target:
+                close(True)
+            fresh.append(part)
+    close(False)
+    return out
+
+
+def chunks(docs: DataFrame, target: int = 400, overlap: int = 55) -> DataFrame:
+    """(doc_id, rank, section, text): the documents' chunks, by a fold over each document's blocks in Arrow batches.
+
+    A null text has no chunk."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(x, heading_like(x)) for x in map(str.strip, (text or "").split("\n")) if x]
+                rows += [(doc, k, section, chunk) for k, (section, chunk) in enumerate(pack_blocks(own, target, overlap))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "rank", "section", "text"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, rank int, section string, text string")
+
+
+def heading_like(x: str) -> bool:
+    """is_heading() for one block in Python."""
+    return len(x) <= 80 and (x[0].isupper() or x[0].isnumeric()) and any(c.isalpha() for c in x) and x[-1] not in ".!?:;,"

@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.session import table
 
-    return table(spark, sf_dir, "documents").select("doc_id")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; sql is its twin, None where SQL cannot express it."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from quillon.plans import catalogue_queries, event_queries, search_queries, text_queries  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search of one question over documents and vectors."""
+    _load()
+    return _QUERIES["hybrid_reserved_slot"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
