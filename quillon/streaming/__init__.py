@@ -1 +1 @@
-"""See the package docstring."""
+"""Structured Streaming: feeds, limits, states, upserts."""
