@@ -8,8 +8,9 @@ prefix one longer as well, and keys of two or three words keep candidate lists s
 of the words (its difference is at most the difference of the sets) filter candidates inside the join; the rest are verified on
 the words themselves.
 
-A large group of similar lines is not paired out: every line is first held against the earliest line and the one before it
-under each key, and only lines that found no match there go to the full join.
+Key rows are sorted by key and place, so a line is held against the NEAR lines before it under each key while they stream by.
+Under a key with more lines a large group is not paired out: a line is also held against the key's earliest line, and only lines
+that found no match in either way go to a full join on those keys.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stage
@@ -27,6 +28,8 @@ SLOTS = 1 << 21
 #: Estimated count from which a first shared word needs a second one in the key, and a third one.
 FREQUENT = (128, 128 << 11)
 KEEP = 200_000
+#: Lines before a line that are compared while the rows of a key stream by.
+NEAR = 48
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -86,53 +89,105 @@ def keys(ids: list[int], similarity: float, frequent: tuple[int, int]) -> list[t
     return out
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """All lines with words, (doc_id, line, part, s), and key rows of each part's distinct sets, (key, part, s, doc_id, line, n, i, bits); one stage table holds both."""
+def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """All lines with words, (doc_id, line, s, n, bits, keys, at): hash, size and parity bitmap of the set, and its keys with the
+    positions of their first words. A part gives keys of a set
+    only where its place is the earliest so far, and none to sets of fewer than four words, which match equals only."""
     frequent = tuple(int(round(2 * np.log2(x + 1.0))) for x in FREQUENT)
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        lines, seen = Lines(levels), set()
-        names = ["key", "s", "doc_id", "line", "n", "i", "bits"]
+        lines, seen = Lines(levels), {}
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids = np.asarray(batch.column(0).fill_null(-(1 << 63)))
-            for at in range(0, len(texts), 512):
-                key, sets, doc, where, size, first, bits, times = [], [], [], [], [], [], [], []
-                for k, text in enumerate(texts[at : at + 512]):
+            for begin in range(0, len(texts), 512):
+                doc, where, sets, size, bits, ends, key, at = [], [], [], [], [], [0], [], []
+                for k, text in enumerate(texts[begin : begin + 512]):
                     for no, line in enumerate((text or b"").split(b"\n")):
                         found = lines.numbers(line)
                         n = len(found)
                         if not n:
                             continue
-                        s = xxhash.xxh3_128_digest(np.array(found, np.uint64).tobytes())
-                        own = [(None, 0)]
-                        if n >= 4 and s not in seen:
-                            seen.add(s)
-                            own += keys(found, similarity, frequent)
-                        b = 0
-                        for x in found:
-                            b ^= 1 << (x & 63)
-                        key += [x[0] for x in own]
-                        first += [x[1] for x in own]
-                        sets.append(s)
-                        doc.append(at + k)
+                        whole = np.array(found, np.uint64)
+                        s = xxhash.xxh64_intdigest(whole.tobytes())
+                        if n >= 4 and (s not in seen or (ids[begin + k], no) < seen[s]):
+                            seen[s] = (ids[begin + k], no)
+                            for x, i in keys(found, similarity, frequent):
+                                key.append(x if x < 1 << 63 else x - (1 << 64))
+                                at.append(i)
+                        doc.append(begin + k)
                         where.append(no)
+                        sets.append(s)
                         size.append(n)
-                        bits.append(b - (1 << 64) if b >> 63 else b)
-                        times.append(len(own))
-                if key:
-                    t = np.array(times)
-                    spread = lambda v, kind: pa.array(np.repeat(np.array(v, kind), t))
-                    whole = np.array([0 if x is None else ((x + (1 << 63)) % (1 << 64)) - (1 << 63) for x in key], np.int64)
-                    bare = np.array([x is None for x in key])
-                    yield pa.RecordBatch.from_arrays([pa.array(whole, mask=bare), pa.array(sets, pa.binary()).take(pa.array(np.repeat(np.arange(len(t)), t))), pa.array(np.repeat(ids[doc], t)), spread(where, np.int32), spread(size, np.int32), pa.array(np.array(first, np.int32)), spread(bits, np.int64)], names)
+                        bits.append(np.bitwise_xor.reduce(np.uint64(1) << (whole & np.uint64(63))))
+                        ends.append(len(key))
+                if doc:
+                    offsets = pa.array(np.array(ends, np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, t))) for x, t in ((key, np.int64), (at, np.int32))]
+                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(bits, np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*made, *lists], ["doc_id", "line", "s", "n", "bits", "keys", "at"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    return stage(rows.mapInArrow(run, "doc_id long, line int, s long, n int, bits long, keys array<long>, at array<int>"), "lines")
+
+
+def meetings(similarity: float, near: int = NEAR):
+    """Rows (key, doc_id, line, s, n, bits, i), sorted by key and place, to candidate pairs (doc_id, line, doc_id2, line2), and to one
+    row with only the key for each key with more than ``near`` lines."""
+
+    def could(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs may have similar words, by place, size, position and bitmap."""
+        _, doc, line, s, n, bits, i = x
+        keep = (n[b] >= similarity * n[a] - 1e-9) & (n[a] >= similarity * n[b] - 1e-9)
+        a, b = a[keep], b[keep]
+        need = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
+        keep = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= n[a] + n[b] - 2 * need)
+        keep &= ((doc[a] != doc[b]) | (line[a] != line[b])) & ((s[a] != s[b]) | (bits[a] != bits[b]) | (n[a] != n[b]))
+        return np.stack([a[keep], b[keep]])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, s binary, doc_id long, line int, n int, i int, bits long")
-    rows = stage(rows, "lines")
-    return rows.where("key is null").select("doc_id", "line", "s"), rows.where("key is not null")
+    def run(batches):
+        import pyarrow as pa
+
+        rest, before = None, 0  # the last key's rows: its first and the latest ones; how many it had
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [np.asarray(c).astype(np.int64) for c in batch.columns]
+            had = 0
+            if rest is not None and rest[0][0] == x[0][0]:
+                had = len(rest[0])
+                x = [np.concatenate(c) for c in zip(rest, x, strict=True)]
+            key, total = x[0], len(x[0])
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = np.repeat(starts, np.diff(np.append(starts, total)))
+            rank = np.arange(total) - first
+            if had:
+                rank[first == 0] += before - had
+            new = np.arange(total) >= had
+            found = []
+            for d in range(1, near + 1):
+                a = np.flatnonzero(new & (np.arange(total) - d >= first))
+                if not len(a):
+                    break
+                found.append(could(x, a, a - d))
+            a = np.flatnonzero(new & (rank > near))
+            found.append(could(x, a, first[a]))
+            a, b = np.concatenate(found, 1)
+            hot = key[new & (rank == near)]
+            none = pa.nulls(len(hot), pa.int64())
+            pairs = [pa.array(np.concatenate([key[a]])), pa.array(x[1][a]), pa.array(x[2][a]), pa.array(x[1][b]), pa.array(x[2][b])]
+            whole = [pa.concat_arrays([p, q]) for p, q in zip(pairs, [pa.array(hot), none, none, none, none], strict=True)]
+            if len(whole[0]):
+                yield pa.RecordBatch.from_arrays(whole, ["key", "doc_id", "line", "doc_id2", "line2"])
+            last = int(starts[-1])
+            before = int(rank[-1]) + 1
+            keep = np.unique(np.append(last, np.arange(max(last, total - near), total)))
+            rest = [c[keep] for c in x]
+
+    return run
 
 
 def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
@@ -162,41 +217,41 @@ def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, similarity:
     return pairs.join(words, ["doc_id", "line"]).join(other, ["doc_id2", "line2"]).where(near).select("doc_id", "line").distinct()
 
 
-def removed(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR) -> DataFrame:
     """(doc_id, lines array<int>): numbers, from 0, of the lines that go, for documents that lose any.
 
     Lines without a word stay. A null doc_id comes before all others; lines at the same place of rows that repeat a doc_id count
     as one line. A null text has no lines that could go. An empty table gives an empty result.
     """
     levels = rarity(docs)
-    lines, rows = signatures(docs, levels, similarity)
-    place = F.struct("doc_id", "line")
-    firsts = lines.groupBy("s").agg(F.min(place).alias("first"))
-    later = lines.join(firsts, "s").where(place > F.col("first")).select("doc_id", "line")
-
-    group = Window.partitionBy("key").orderBy("doc_id", "line")
-    mine = F.struct("doc_id", "line", "n", "i", "bits", "s")
-    members = rows.withColumns({"n_key": F.count("*").over(Window.partitionBy("key")), "lead": F.first(mine).over(group), "prior": F.lag(mine).over(group)}).where("n_key > 1")
-    members = stage(members.drop("n_key"), "members")
-
-    def could(a: str, b: str):
-        """Whether the words can be similar, by length, position and bitmap, for another set at an earlier place."""
-        need = f"ceil({similarity} / (1 + {similarity}) * ({a}n + {b}n) - 1e-9)"
-        return F.expr(f"""({b}doc_id < {a}doc_id or ({b}doc_id = {a}doc_id and {b}line < {a}line)) and {a}s <> {b}s
-            and {b}n >= {similarity} * {a}n - 1e-9 and {a}n >= {similarity} * {b}n - 1e-9
-            and bit_count({a}bits ^ {b}bits) <= {a}n + {b}n - 2 * {need} and least({a}n - {a}i, {b}n - {b}i) >= {need}""")
-
-    ahead = members.select("*", F.explode(F.array("lead", "prior")).alias("b")).where("b is not null").where(could("", "b."))
-    ahead = stage(ahead.select("doc_id", "line", F.col("b.doc_id").alias("doc_id2"), F.col("b.line").alias("line2")).distinct(), "pairs")
+    lines = signatures(docs, levels, similarity)
+    place, same = F.struct("doc_id", "line"), ["s", "n", "bits"]
+    firsts = lines.groupBy(*same).agg(F.min(place).alias("first"))
+    later = lines.select("doc_id", "line", *same).join(firsts, same).where(place > F.col("first")).select("doc_id", "line")
+
+    rows = lines.where("size(keys) > 0").select("doc_id", "line", *same, F.inline(F.arrays_zip("keys", "at")))
+    rows = rows.select(F.col("keys").alias("key"), "doc_id", "line", "s", "n", "bits", F.col("at").alias("i"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "line")
+    met = stage(met.mapInArrow(meetings(similarity, near), "key long, doc_id long, line long, doc_id2 long, line2 long"), "met")
+    pair = [F.col("doc_id"), F.col("line").cast("int"), F.col("doc_id2"), F.col("line2").cast("int").alias("line2")]
+    ahead = stage(met.where("doc_id2 is not null").select(*pair).distinct(), "pairs")
     found = stage(verified(docs, ahead, levels, similarity), "found")
-
-    open_ = members.join(found, ["doc_id", "line"], "left_anti")
-    a, b = open_.select(*rows.columns).alias("a"), members.select(*rows.columns).alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key") & could("a.", "b.")).select(F.col("a.doc_id"), F.col("a.line"), F.col("b.doc_id").alias("doc_id2"), F.col("b.line").alias("line2")).distinct()
-    pairs = stage(pairs.join(ahead, ["doc_id", "line", "doc_id2", "line2"], "left_anti"), "pairs")
-    rest = verified(docs, pairs, levels, similarity)
-    gone = later.union(found).union(rest).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return stage(gone, "removed")
+    gone = later.union(found)
+
+    hot = met.where("doc_id2 is null").select("key").distinct()
+    if not hot.isEmpty():
+        members = stage(rows.join(hot, "key", "left_semi"), "members")
+        open_ = members.join(found, ["doc_id", "line"], "left_anti")
+        a, b = open_.alias("a"), members.alias("b")
+        could = F.expr(f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line)) and (a.s <> b.s or a.bits <> b.bits or a.n <> b.n)
+            and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
+            and bit_count(a.bits ^ b.bits) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
+            and least(a.n - a.i, b.n - b.i) >= ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)""")
+        pairs = a.join(b, F.expr("a.key = b.key") & could).select(F.col("a.doc_id"), F.col("a.line"), F.col("b.doc_id").alias("doc_id2"), F.col("b.line").alias("line2")).distinct()
+        pairs = stage(pairs.join(ahead, ["doc_id", "line", "doc_id2", "line2"], "left_anti"), "pairs")
+        gone = gone.union(verified(docs, pairs, levels, similarity))
+    return stage(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")), "removed")
 
 
 def dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

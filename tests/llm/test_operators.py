@@ -104,6 +104,18 @@ def test_line_dedup(spark, sf, docs, none):
     assert next(r.text for (d, _), r in found.items() if d == 52) == "same line of five words"
 
 
+def test_line_dedup_of_large_groups(spark, sf):
+    """The full join behind the streaming pass, keys that span batches, and rows in no order."""
+    df = documents(spark, sf).where("n_chars < 4000").repartition(3, "text")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        assert {r.doc_id: r.lines for r in line_dedup.removed(df, near=1).collect()} == brute.removed_lines(pairs(df))
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_line_keys_share(spark):
     """Any two similar sets share a key, whatever the counts of their words."""
     random.seed(9)
