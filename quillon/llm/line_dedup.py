@@ -30,6 +30,8 @@ FREQUENT = (128, 128 << 11)
 KEEP = 200_000
 #: Lines before a line that are compared while the rows of a key stream by.
 NEAR = 48
+#: A second parity bitmap in four parts, for the full join only.
+WIDE = ["w0", "w1", "w2", "w3"]
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -90,7 +92,7 @@ def keys(ids: list[int], similarity: float, frequent: tuple[int, int]) -> list[t
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """All lines with words, (doc_id, line, s, n, bits, keys, at): hash, size and parity bitmap of the set, and its keys with the
+    """All lines with words, (doc_id, line, s, n, bits, w0 to w3, keys, at): hash, size and parity bitmaps of the set, and its keys with the
     positions of their first words. A part gives keys of a set
     only where its place is the earliest so far, and none to sets of fewer than four words, which match equals only."""
     frequent = tuple(int(round(2 * np.log2(x + 1.0))) for x in FREQUENT)
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFr
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids = np.asarray(batch.column(0).fill_null(-(1 << 63)))
             for begin in range(0, len(texts), 512):
-                doc, where, sets, size, bits, ends, key, at = [], [], [], [], [], [0], [], []
+                doc, where, sets, size, bits, wide, ends, key, at = [], [], [], [], [], [], [0], [], []
                 for k, text in enumerate(texts[begin : begin + 512]):
                     for no, line in enumerate((text or b"").split(b"\n")):
                         found = lines.numbers(line)
@@ -123,15 +125,16 @@ def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFr
                         sets.append(s)
                         size.append(n)
                         bits.append(np.bitwise_xor.reduce(np.uint64(1) << (whole & np.uint64(63))))
+                        wide.append(np.packbits(np.bincount((whole >> np.uint64(6) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                         ends.append(len(key))
                 if doc:
                     offsets = pa.array(np.array(ends, np.int32))
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, t))) for x, t in ((key, np.int64), (at, np.int32))]
-                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(bits, np.uint64).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*made, *lists], ["doc_id", "line", "s", "n", "bits", "keys", "at"])
+                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(bits, np.uint64).view(np.int64)), *map(pa.array, np.ascontiguousarray(np.array(wide).T))]
+                    yield pa.RecordBatch.from_arrays([*made, *lists], ["doc_id", "line", "s", "n", "bits", *WIDE, "keys", "at"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, line int, s long, n int, bits long, keys array<long>, at array<int>"), "lines")
+    return stage(rows.mapInArrow(run, f"doc_id long, line int, s long, n int, bits long, {', '.join(f'{w} long' for w in WIDE)}, keys array<long>, at array<int>"), "lines")
 
 
 def meetings(similarity: float, near: int = NEAR):
@@ -229,10 +232,10 @@ def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR) -> DataF
     firsts = lines.groupBy(*same).agg(F.min(place).alias("first"))
     later = lines.select("doc_id", "line", *same).join(firsts, same).where(place > F.col("first")).select("doc_id", "line")
 
-    rows = lines.where("size(keys) > 0").select("doc_id", "line", *same, F.inline(F.arrays_zip("keys", "at")))
-    rows = rows.select(F.col("keys").alias("key"), "doc_id", "line", "s", "n", "bits", F.col("at").alias("i"))
+    rows = lines.where("size(keys) > 0").select("doc_id", "line", *same, *WIDE, F.inline(F.arrays_zip("keys", "at")))
+    rows = rows.select(F.col("keys").alias("key"), "doc_id", "line", "s", "n", "bits", F.col("at").alias("i"), *WIDE)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "line")
+    met = rows.drop(*WIDE).repartition(parts, "key").sortWithinPartitions("key", "doc_id", "line")
     met = stage(met.mapInArrow(meetings(similarity, near), "key long, doc_id long, line long, doc_id2 long, line2 long"), "met")
     pair = [F.col("doc_id"), F.col("line").cast("int"), F.col("doc_id2"), F.col("line2").cast("int").alias("line2")]
     ahead = stage(met.where("doc_id2 is not null").select(*pair).distinct(), "pairs")
@@ -247,6 +250,7 @@ def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR) -> DataF
         could = F.expr(f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line)) and (a.s <> b.s or a.bits <> b.bits or a.n <> b.n)
             and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
             and bit_count(a.bits ^ b.bits) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
+            and {" + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WIDE)} <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
             and least(a.n - a.i, b.n - b.i) >= ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)""")
         pairs = a.join(b, F.expr("a.key = b.key") & could).select(F.col("a.doc_id"), F.col("a.line"), F.col("b.doc_id").alias("doc_id2"), F.col("b.line").alias("line2")).distinct()
         pairs = stage(pairs.join(ahead, ["doc_id", "line", "doc_id2", "line2"], "left_anti"), "pairs")
