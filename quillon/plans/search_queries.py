@@ -49,19 +49,19 @@ def ranked(df: DataFrame, n: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-BY_SCORE = (F.desc("score"), "doc_id")
+BY_SCORE = ("-score", "doc_id")
 
 
 @query(f"{sql_bm25(TERMS)} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_prefix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents by keywords; words of five letters and more also match as beginnings."""
-    return scores(spark, sf_dir).orderBy(*BY_SCORE).limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    return scores(spark, sf_dir).orderBy(*map(F.expr, BY_SCORE)).limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"{sql_bm25(TERMS, 99)} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents by whole keywords."""
-    return scores(spark, sf_dir, 99).orderBy(*BY_SCORE).limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    return scores(spark, sf_dir, 99).orderBy(*map(F.expr, BY_SCORE)).limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {sql_terms(TERMS)} SELECT doc_id, round(coverage, 6) AS coverage FROM ({sql_coverage(TERMS)}) WHERE coverage > 0")
@@ -166,12 +166,12 @@ SQL_FUSED = f"""{sql_bm25(TERMS)}, k AS (SELECT doc_id, row_number() OVER (ORDER
     v AS (SELECT e.vec_id AS doc_id, row_number() OVER (ORDER BY list_dot_product(e.v, q.v) DESC, e.vec_id) AS vrank FROM {SQL_VECTORS} e, {SQL_VECTORS} q WHERE q.vec_id = {SEED} AND e.vec_id <> {SEED} QUALIFY vrank <= 20),
     f AS (SELECT coalesce(k.doc_id, v.doc_id) AS doc_id, vrank, wrank, coalesce(1 / (60 + vrank), 0) + coalesce(0.5 / (60 + wrank), 0) AS rrf FROM k FULL JOIN v ON k.doc_id = v.doc_id),
     p AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, vrank NULLS LAST, wrank, doc_id) AS position FROM f)"""
-FUSED = (F.desc("rrf"), F.asc_nulls_last("vrank"), "wrank", "doc_id")
+FUSED = ("-rrf", "coalesce(vrank, 1000)", "coalesce(wrank, 1000)", "doc_id")
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 40 rows: 20 by keywords, 20 by vectors."""
-    words = ranked(scores(spark, sf_dir), 20, *BY_SCORE).select("doc_id", "rank")
+    words = ranked(scores(spark, sf_dir), 20, *map(F.expr, BY_SCORE)).select("doc_id", "rank")
     own = vectors(spark, sf_dir)
     near = rt.nearest(own.where(F.col("vec_id") == SEED).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), own.select("vec_id", "v"), 20)
     return rt.fuse(near.select(F.col("vec_id").alias("doc_id"), "rank"), words, "doc_id")
@@ -186,7 +186,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SQL_FUSED}, kept AS (SELECT doc_id, position FROM p WHERE position <= 16), best AS (SELECT doc_id FROM p WHERE wrank = 1 AND position > 16) SELECT doc_id, position FROM kept WHERE position < 16 OR NOT EXISTS (SELECT 1 FROM best) UNION ALL SELECT doc_id, 16 FROM best")
 def hybrid_reserved_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 16 best; the best keyword hit takes the last place if it is not among them."""
-    p = fused(spark, sf_dir).withColumn("position", F.row_number().over(Window.orderBy(*FUSED)))
+    p = fused(spark, sf_dir).withColumn("position", F.row_number().over(Window.orderBy(*map(F.expr, FUSED))))
     p = p.withColumn("late", F.max((F.coalesce(F.col("wrank") == 1, F.lit(False))) & (F.col("position") > 16)).over(Window.partitionBy()))
     mine = F.coalesce(F.col("wrank") == 1, F.lit(False)) & (F.col("position") > 16)
     return p.where(mine | (F.col("position") < F.when(F.col("late"), 16).otherwise(17))).select("doc_id", LONG(F.when(mine, 16).otherwise(F.col("position"))).alias("position"))
@@ -196,7 +196,7 @@ def hybrid_reserved_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cap_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three results of each source, in order of score."""
     df = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return rt.cap(df, "source", 3, *BY_SCORE).select("source", "doc_id", LONG("rank").alias("rank"))
+    return rt.cap(df, "source", 3, *map(F.expr, BY_SCORE)).select("source", "doc_id", LONG("rank").alias("rank"))
 
 
 @query(f"{sql_bm25(TERMS)} SELECT lang, min_by(doc_id, (-score, doc_id)) AS doc_id, round(max(score), 6) AS score FROM b JOIN documents USING (doc_id) GROUP BY lang")
@@ -211,7 +211,7 @@ def best_per_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleave_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round robin of the sources' ranked lists, 16 results in all."""
     df = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    lists = rt.cap(df, "source", 16, *BY_SCORE).withColumnRenamed("source", "list")
+    lists = rt.cap(df, "source", 16, *map(F.expr, BY_SCORE)).withColumnRenamed("source", "list")
     return rt.interleave(lists, "doc_id", 16).select("doc_id", LONG("position").alias("position"))
 
 
@@ -223,7 +223,7 @@ def group_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = terms_of(spark, sf_dir)
     level = F.when(F.col("coverage") >= 0.75, "strong").when(F.col("coverage") >= 0.3, "close")
     found = rt.bm25(t, "doc_id", len(TERMS)).join(rt.coverage(t, "doc_id", len(TERMS)), "doc_id").withColumn("level", level).where("level is not null")
-    return rt.grouped(found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"), "source", 3, *BY_SCORE)
+    return rt.grouped(found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"), "source", 3, *map(F.expr, BY_SCORE))
 
 
 RARE = ["the", "nicht", "mente", "of"]
