@@ -105,43 +105,62 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 class WordIds:
     """Token ids of whole texts by the tokenizers library, with the ids of each distinct word kept.
 
-    The vocabulary splits a normalised text into words before it merges, so a text's ids are the ids of its words in order.
-    Texts with characters outside a range where Python and the library surely agree on letters, digits, white space and lower
-    case go to the library whole. The kept words are bounded in number.
+    The vocabulary splits a normalised text at white space, and never merges across it, so a text's ids are the ids of its words
+    in order. A word with characters outside a range where Python and the library surely agree on white space sends its whole
+    text to the library. The kept words are bounded in number.
     """
 
     #: Letters, digits, punctuation and blanks whose classes and lower case are plain; no combining marks, no super- or subscripts.
-    PLAIN = "[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u017e\\u2010-\\u2027]"
-    SPLIT = "'(?:s|t|re|ve|m|ll|d)|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+"
-    KEEP = 300_000
+    PLAIN = "[^\\x21-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u017e\\u2010-\\u2027]"
+    KEEP = 600_000
+    #: Bytes; a longer word sends its whole text to the library and is not kept.
+    LONG = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.odd, self.split, self.kept = re.compile(self.PLAIN), re.compile(self.SPLIT).findall, {}
+        self.odd, self.kept = re.compile(self.PLAIN), {}
 
-    def texts(self, texts: list) -> Iterator[bytes]:
-        """The ids of each text (None: empty) as little-endian unsigned 32-bit integers."""
+    def learn(self, words: set[bytes]) -> None:
+        """Keep the ids of words, all encoded in one call; None for a word with odd characters."""
         import numpy as np
 
-        for text in texts:
-            if not text:
-                yield b""
-            elif self.odd.search(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.kept) > self.KEEP:
+            self.kept.clear()
+        plain, chars = [], []
+        for word in (x for x in words if x not in self.kept):
+            text = word.decode()
+            if self.odd.search(text):
+                self.kept[word] = None
             else:
-                found, kept = self.split(text.lower()), self.kept
+                plain.append(word)
+                chars.append(text)
+        if plain:
+            found = self.tokenizer.encode(" ".join(chars), add_special_tokens=False)
+            ids, begins = np.array(found.ids, "<u4"), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            places = np.cumsum([0, *(len(x) + 1 for x in chars)])
+            cuts = np.searchsorted(begins, places).tolist()
+            for word, i, j in zip(plain, cuts, cuts[1:]):
+                self.kept[word] = ids[i:j].tobytes()
+
+    def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each UTF-8 text (None: empty) as little-endian unsigned 32-bit integers."""
+        import numpy as np
+
+        for text in texts:
+            words = (text or b"").split()
+            try:
+                if words and (b"\x0b" in text or b"\x0c" in text or max(map(len, words)) > self.LONG):
+                    raise TypeError
                 try:
-                    yield b"".join([kept[x] for x in found])
+                    yield b"".join([self.kept[x] for x in words])
                 except KeyError:
-                    if len(kept) > self.KEEP:
-                        kept.clear()
-                    missing = list({x for x in found if x not in kept})
-                    for word, ids in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                        kept[word] = np.array(ids.ids, "<u4").tobytes()
-                    yield b"".join([kept[x] for x in found])
+                    self.learn(set(words))
+                    yield b"".join([self.kept[x] for x in words])
+            except TypeError:
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, WordIds] = {}

@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0)
         ids, stop, step = word_ids(vocabulary), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out = []
-            for doc, found in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).to_pylist()), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 found += stop
                 out += [(doc, k, a // 4, (min(len(found), a + step) - a) // 4, crc32(found[a : a + step])) for k, a in enumerate(range(0, len(found), step))]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, ["doc_id", "piece", "start", "length", "ids_crc32"])

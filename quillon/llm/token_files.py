@@ -144,7 +144,7 @@ def write(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | None = N
         def each():
             batch = first
             while batch is not None:
-                for doc, found in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).to_pylist()), strict=True):
+                for doc, found in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     yield doc, found + stop
                 batch = next(batches, None)
 

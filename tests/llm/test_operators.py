@@ -217,7 +217,7 @@ def test_word_ids(spark, sf, docs):
 
     plain = Tokenizer.from_file(vocabulary())
     texts = [t for _, t in pairs(docs)] + [t for _, t in pairs(documents(spark, sf))]
-    for t, found in zip(texts, word_ids(vocabulary()).texts(texts), strict=True):
+    for t, found in zip(texts, word_ids(vocabulary()).texts([t and t.encode() for t in texts]), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
@@ -231,7 +231,7 @@ def test_packing(spark, sf, docs, none):
         assert max(ends.values()) <= 256 and set(ends) == set(range(len(ends)))
         texts = pairs(df)
         want = Counter()
-        for (d, _), ids in zip(texts, word_ids(vocabulary()).texts([t for _, t in texts]), strict=True):
+        for (d, _), ids in zip(texts, word_ids(vocabulary()).texts([t and t.encode() for _, t in texts]), strict=True):
             ids += b"\0\0\0\0"
             want.update((d, k, a // 4, min(len(ids) - a, 1024) // 4, zlib.crc32(ids[a : a + 1024])) for k, a in enumerate(range(0, len(ids), 1024)))
         assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
@@ -261,7 +261,7 @@ def test_token_files(spark, sf, docs, none, tmp_path):
         rows = sorted(token_files.read(shards).collect(), key=lambda r: r.start)
         texts = sorted(pairs(df), key=lambda x: (x[0] is not None, x[0] or 0))
         at = 0
-        for r, (d, _), ids in zip(rows, texts, word_ids(vocabulary()).texts([t for _, t in texts]), strict=True):
+        for r, (d, _), ids in zip(rows, texts, word_ids(vocabulary()).texts([t and t.encode() for _, t in texts]), strict=True):
             ids += np.array([2], "<u4").tobytes()
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids) // 4, zlib.crc32(ids))
             at += len(ids) // 4
@@ -332,5 +332,5 @@ def test_pipeline(spark, sf):
     mix = p.mixture(spark, single, sf).cache()
     assert set(mix.select("doc_id", "text").collect()) <= set(single.select("doc_id", "text").collect()) and mix.columns == docs.columns
     packed = p.sequences(spark, mix, sf)
-    assert packed.agg(F.sum("length")).first()[0] == sum(len(x) // 4 + 1 for x in word_ids(vocabulary()).texts([t for _, t in pairs(mix)]))
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(x) // 4 + 1 for x in word_ids(vocabulary()).texts([t and t.encode() for _, t in pairs(mix)]))
     assert [n for n, _ in p.STAGES] == ["quality rules", "line dedup", "near copies", "mixing", "packing"]
