@@ -15,6 +15,7 @@ that found no match in either way go to a full join on those keys.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
@@ -27,7 +28,8 @@ from quillon.llm.common import stage
 SLOTS = 1 << 21
 #: Estimated count from which a first shared word needs a second one in the key, and a third one.
 FREQUENT = (128, 128 << 11)
-KEEP = 200_000
+#: Words whose numbers a task keeps.
+KEEP = 500_000
 #: Lines before a line that are compared while the rows of a key stream by.
 NEAR = 48
 #: A second parity bitmap in four parts, for the full join only.
@@ -42,10 +44,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            seen: dict[bytes, int] = {}
+            seen: Counter[bytes] = Counter()
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                for word in (text or b"").lower().split():
-                    seen[word] = seen.get(word, 0) + 1
+                seen.update((text or b"").lower().split())
             if seen:
                 total += np.bincount(np.fromiter((crc32(x) % SLOTS for x in seen), np.int64, len(seen)), np.fromiter(seen.values(), np.float64, len(seen)), SLOTS).astype(np.int64)
         at = np.flatnonzero(total)
@@ -57,23 +58,31 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
-class Lines:
-    """The word numbers of a line, rarest first: a step of the count above 56 bits of the word's hash."""
+class Lines(dict):
+    """Word to number, a step of the word's count above 56 bits of its hash; numbers() gives those of a line, rarest first."""
 
     def __init__(self, levels: np.ndarray):
-        self.levels, self.kept = levels, {}
+        super().__init__()
+        self.levels = levels.tobytes()
 
-    def number(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self.kept) > KEEP:
-            self.kept.clear()
-        found = self.kept[word] = (int(self.levels[crc32(word) % SLOTS]) << 56) | (xxhash.xxh64_intdigest(word) >> 8)
+        if len(self) > KEEP:
+            self.clear()
+        found = self[word] = (self.levels[crc32(word) % SLOTS] << 56) | (xxhash.xxh64_intdigest(word) >> 8)
         return found
 
     def numbers(self, line: bytes) -> list[int]:
-        get, number = self.kept.get, self.number
-        return sorted({get(x) or number(x) for x in line.lower().split()})
+        return sorted(set(map(self.__getitem__, line.lower().split())))
+
+
+def bitmaps(whole: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Of each set, at its start in the word numbers: a parity bitmap of 64 bits, and one of 256 in four parts."""
+    one, low = np.uint64(1), np.uint64(63)
+    part, bit = whole >> np.uint64(12) & np.uint64(3), one << (whole >> np.uint64(6) & low)
+    values = [one << (whole & low), *(np.where(part == np.uint64(k), bit, np.uint64(0)) for k in range(4))]
+    return [np.bitwise_xor.reduceat(x, starts).view(np.int64) for x in values]
 
 
 def keys(ids: list[int], similarity: float, frequent: tuple[int, int]) -> list[tuple[int, int]]:
@@ -105,16 +114,16 @@ def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFr
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids = np.asarray(batch.column(0).fill_null(-(1 << 63)))
-            for begin in range(0, len(texts), 512):
-                doc, where, sets, size, bits, wide, ends, key, at = [], [], [], [], [], [], [0], [], []
-                for k, text in enumerate(texts[begin : begin + 512]):
+            for begin in range(0, len(texts), 64):
+                doc, where, sets, size, words, ends, key, at = [], [], [], [], [], [0], [], []
+                for k, text in enumerate(texts[begin : begin + 64]):
                     for no, line in enumerate((text or b"").split(b"\n")):
                         found = lines.numbers(line)
                         n = len(found)
                         if not n:
                             continue
-                        whole = np.array(found, np.uint64)
-                        s = xxhash.xxh64_intdigest(whole.tobytes())
+                        s = xxhash.xxh64_intdigest(np.array(found, np.uint64).tobytes())
+                        words += found
                         if n >= 4 and (s not in seen or (ids[begin + k], no) < seen[s]):
                             seen[s] = (ids[begin + k], no)
                             for x, i in keys(found, similarity, frequent):
@@ -124,13 +133,11 @@ def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFr
                         where.append(no)
                         sets.append(s)
                         size.append(n)
-                        bits.append(np.bitwise_xor.reduce(np.uint64(1) << (whole & np.uint64(63))))
-                        wide.append(np.packbits(np.bincount((whole >> np.uint64(6) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                         ends.append(len(key))
                 if doc:
                     offsets = pa.array(np.array(ends, np.int32))
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, t))) for x, t in ((key, np.int64), (at, np.int32))]
-                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.array(bits, np.uint64).view(np.int64)), *map(pa.array, np.ascontiguousarray(np.array(wide).T))]
+                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), *map(pa.array, bitmaps(np.array(words, np.uint64), np.cumsum([0, *size[:-1]])))]
                     yield pa.RecordBatch.from_arrays([*made, *lists], ["doc_id", "line", "s", "n", "bits", *WIDE, "keys", "at"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
