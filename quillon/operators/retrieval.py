@@ -140,6 +140,15 @@ def contained(rows: DataFrame, words: str, table: DataFrame, expression: str) ->
     return own.join(table.withColumn("_w", F.get(expression, F.lit(0))), "_w").where(F.size(F.array_except(expression, words)) == 0).drop("_w")
 
 
+def greedy_cover(found: DataFrame, by: list[str], item: str, word: str) -> DataFrame:
+    """(by, item): of the items found, in order, those that bring a word that no earlier one has.
+
+    found has a row for each item and word. An item left out brings no word of its own, so an item is taken exactly if it is
+    the first one found with one of its words: one aggregation, no pass in order.
+    """
+    return found.groupBy(*by, word).agg(F.min(item).alias(item)).select(*by, item).distinct()
+
+
 def grouped(found: DataFrame, by: str, n: int, *order) -> DataFrame:
     """(by, level, passages): the first n results of each group in order; the group's level is its first result's."""
     top = cap(found, by, n, *order)
