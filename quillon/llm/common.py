@@ -106,7 +106,8 @@ class WordIds:
     """Token ids of whole texts by the tokenizers library, with the ids of each distinct word kept.
 
     The vocabulary splits a normalised text at white space, and never merges across it, so a text's ids are the ids of its words
-    in order. A word with characters outside a range where Python and the library surely agree on white space sends its whole
+    in order. The library's default holds for its added tokens: a literal one, <|endoftext|> say, becomes its own id, wherever it
+    stands in a word. A word with characters outside a range where Python and the library surely agree on white space sends its whole
     text to the library. The kept words are bounded in number.
     """
 
@@ -120,7 +121,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.odd, self.kept = re.compile(self.PLAIN), {}
 
     def learn(self, words: set[bytes]) -> None:

@@ -221,6 +221,16 @@ def test_word_ids(spark, sf, docs):
         assert np.frombuffer(found, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_word_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = ["a<|endoftext|>b", "<|startoftext|> x", "<|endoftext|>", "x <|endoftext|><|endoftext|>. y's", "<|ENDOFTEXT|> <|endoftext |>", "é\t<|endoftext|>\nß", "中<|startoftext|>b c", "a\x0b<|endoftext|>", "y" * 300 + "<|endoftext|> z"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in word_ids(vocabulary()).texts([t.encode() for t in texts])]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[0] == [320, 49407, 321]
+
+
 def test_packing(spark, sf, docs, none):
     for df in (docs, documents(spark, sf)):
         rows = packing.packed(df, vocabulary(), 256).collect()
