@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, mixing, packing, quality_rules, simhash
+from quillon.llm import line_dedup, mixing, packing, quality_rules
+from quillon.llm import near_copies as copies
 from quillon.llm.common import stage, vocabulary
 from quillon.session import ship, table
 
@@ -24,9 +25,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return copies.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

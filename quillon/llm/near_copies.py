@@ -1,0 +1,138 @@
+"""Near copies by their word shingles: an exact Jaccard join of documents, for the pipeline.
+
+A document is the set of its shingles, runs of ``width`` words, lower-cased; fewer words make one shingle, no word none. Two
+documents link where the Jaccard similarity of their sets is at least ``similarity``, and a link is verified on the sets before
+anything is removed. Shingles are ordered by rarity (any order that depends on the shingle alone gives exact results), so that
+two sets that link share a shingle in their prefixes, n - ceil(t n) + 1 shingles. Sizes and positions under a shared key filter
+candidates. As in the SimHash join, each member of a key is first held against the key's smallest one; then only pairs between
+different components of a key are compared.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.llm.common import components, stage
+
+SLOTS = 1 << 21
+ROWS = 1024
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x)) for x in runs), np.uint64, len(runs))).view(np.int64)
+
+
+def shingles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, hashes) of every row; node stands for the set."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [shingle_set(x, width) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "node", "hashes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, node long, hashes array<long>")
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles over all sets, by slot, as steps of half a power of two: SLOTS bytes, whatever the input."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch.column(0).flatten()) & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    rows = sets.select("hashes").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[np.asarray(rows.column("slot"))] = np.round(2 * np.log2(np.asarray(rows.column("n")) + 1.0)).astype(np.uint8)
+    return out
+
+
+def keyed(sets: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """(key, node, n, at): the prefix of each set, n its size and at the place in its order. A part gives a set's keys once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = set()
+        for batch in batches:
+            nodes, hashes, ends = batch.column(0).to_pylist(), np.asarray(batch.column(1).flatten()), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()]).tolist()
+            key, node, size, place = [np.zeros(0, np.int64)], [], [], []
+            for x, i, j in zip(nodes, ends, ends[1:]):
+                if i == j or x in seen:
+                    continue
+                seen.add(x)
+                own, n = hashes[i:j], j - i
+                prefix = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                key.append(own[np.lexsort((own, levels[own & (SLOTS - 1)]))[:prefix]])
+                node.append(np.full(prefix, x))
+                size.append(np.full(prefix, n))
+                place.append(np.arange(prefix))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (key, node, size, place)], ["key", "node", "n", "at"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "key long, node long, n long, at long")
+
+
+def may_link(a: str, b: str, similarity: float):
+    """Column: whether two sets can be similar enough if this is the first shingle that they share."""
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return most >= similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (x, y) of nodes whose sets are similar enough."""
+    pairs = stage(pairs, "pairs")
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    own = stage(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "compared")
+    both = pairs.join(own.select(F.col("node").alias("x"), F.col("hashes").alias("hx")), "x").join(own.select(F.col("node").alias("y"), F.col("hashes").alias("hy")), "y")
+    shared = F.size(F.array_intersect("hx", "hy"))
+    return both.where(shared >= similarity * (F.size("hx") + F.size("hy") - shared) - 1e-6).select("x", "y")
+
+
+def linked(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of the distinct sets that link to another one."""
+    w = Window.partitionBy("key")
+    own = F.struct("node", "n", "at")
+    met = keyed(sets, rarity(sets), similarity).select("key", own.alias("own"))
+    met = stage(met.withColumns({"lead": F.min("own").over(w), "last": F.max("own").over(w)}).where("lead.node < last.node").drop("last"), "met")
+    near = met.where(F.col("own.node") != F.col("lead.node")).where(may_link("own", "lead", similarity))
+    links = stage(verified(near.select(F.col("own.node").alias("x"), F.col("lead.node").alias("y")).distinct(), sets, similarity), "links")
+    first = components(links, "x", "y")
+    left = met.select("key", "own", F.col("own.node").alias("node")).distinct().join(first, "node", "left").select("key", "own", F.coalesce("label", "node").alias("label"))
+    left = left.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).where("low < high")
+    left = stage(left.select("key", "own", "label"), "mixed")
+    a, b = left.alias("a"), left.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & may_link("a.own", "b.own", similarity))
+    more = verified(pairs.select(F.col("a.own.node").alias("x"), F.col("b.own.node").alias("y")).distinct(), sets, similarity)
+    return components(links.union(more), "x", "y")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the near copies: the row with the smallest doc_id of each component stays; rows with a null doc_id stay.
+
+    Texts without a word are copies of one another. Rows with a null doc_id take part. An empty table gives an empty result.
+    """
+    sets = stage(shingles(docs, width), "shingles")
+    rows = sets.select("doc_id", "node").join(linked(sets, similarity), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("least"))
+    found = rows.join(least, "label").where("doc_id <> least").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -324,6 +324,45 @@ def test_query_order_minhash(spark, sf):
         assert (found[d].near_next == 1) == (found[d].fingerprint == nxt.fingerprint)
 
 
+def test_near_copies_by_similarity(spark, docs, none):
+    """The pipeline's stage against Jaccard similarities of all pairs, with copies of about 0.6 to 1."""
+    import corpus_pipeline as p
+
+    random.seed(11)
+    pool = [f"w{k}" for k in range(4000)]
+    common = random.sample(pool, 60)
+    rows = [(1000, " ".join(random.sample(pool, 300)))]
+    edited = rows[0][1].split()
+    for k in (50, 150, 250):
+        edited[k] = "new"
+    rows.append((1001, " ".join(edited)))
+    for k in range(40):
+        base = random.sample(pool, random.choice([6, 30, 120, 300])) + (common if k % 3 == 0 else [])
+        for m in range(4):
+            own = list(base)
+            for at in random.sample(range(len(own)), min(len(own), random.randint(0, 1 + len(own) // 30))):
+                own[at] = random.choice(pool)
+            rows.append((2000 + 10 * k + m, " ".join(own[random.randint(0, len(own) // 20) :])))
+    random.shuffle(rows)
+    more = spark.createDataFrame([(d, t, "en", "a", "k", 0) for d, t in rows], SCHEMA)
+    for df in (docs, more.repartition(3), docs.union(more)):
+        known = pairs(df)
+        sets = []
+        for _, t in known:
+            x = (t or "").encode().lower().split()
+            sets.append({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set())
+        roots = brute.groups(len(known), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+        least = {}
+        for (d, _), r in zip(known, roots, strict=True):
+            if d is not None:
+                least[r] = min(d, least.get(r, d))
+        gone = {d for (d, _), r in zip(known, roots, strict=True) if d is not None and d != least[r]}
+        found = p.near_copies(spark, df, "")
+        assert found.columns == df.columns
+        assert Counter(d for d, _ in pairs(found)) == Counter(d for d, _ in known if d not in gone)
+    assert 1001 in gone and p.near_copies(spark, none, "").count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
