@@ -24,3 +24,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "position"]
+
+
+def test_cidr_member_of_every_user(spark, tmp_path):
+    from quillon.plans.event_queries import cidr_member
+
+    spark.createDataFrame([(x,) for x in (0, 63, 64, 65535, 65536, 70000, 70000, None)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.user_id: (r.ip, r.member) for r in cidr_member(spark, str(tmp_path)).collect()}
+    assert found == {0: ("10.0.0.0", True), 63: ("10.0.0.63", True), 64: ("10.0.0.64", False), 65535: ("10.0.255.255", False), 65536: ("10.1.0.0", False), 70000: ("10.1.17.112", False)}
