@@ -103,9 +103,12 @@ def in_network(ip: Column, cidr: str) -> Column:
 def first_rule(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """rows with ``answer`` of the first rule, by ordinal, all of whose patterns fit; ``*`` stands for anything. No rule: null.
 
-    The rules are a configuration table of a few rows, read into one expression, so the rows are not shuffled."""
+    The rules are a configuration table of a few rows, read into one expression, so the rows are not shuffled. More than 1000: ValueError."""
+    listed = rules.limit(1001).collect()
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 rules")
     answer = F.lit(None)
-    for rule in sorted(rules.limit(1000).collect(), key=lambda r: -r["ordinal"]):
+    for rule in sorted(listed, key=lambda r: -r["ordinal"]):
         fits = F.lit(True)
         for name in fields:
             pattern = "^" + "".join(".*" if x == "*" else "[" + x + "]" if x in ".+?()[]{}|$" else x for x in rule[name]) + "$"

@@ -53,3 +53,12 @@ def test_greedy_cover(spark):
             own.update(items[q, i])
     found = spark.createDataFrame([(q, i, w) for (q, i), ws in items.items() for w in ws], "q int, item int, word int")
     assert {tuple(r) for r in greedy_cover(found, ["q"], "item", "word").collect()} == want
+
+
+def test_first_rule_takes_no_part_of_a_long_table(spark):
+    from quillon.operators.tables import first_rule
+
+    rows = spark.createDataFrame([("a",)], "_host string")
+    with pytest.raises(ValueError, match="1000 rules"):
+        first_rule(rows, spark.range(1001).selectExpr("id as ordinal", "'a' as host", "1 as answer"), ["host"])
+    assert first_rule(rows, spark.range(3).selectExpr("id as ordinal", "'a' as host", "cast(id + 5 as int) as answer"), ["host"]).first().answer == 5
