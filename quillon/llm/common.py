@@ -20,9 +20,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     jvm = spark.sparkContext._jvm
@@ -59,17 +61,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the job that wrote it are released at its end.
+    The shuffle files of the job that wrote it are released at its end; release() deletes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set(CLEANUP, "true")  # for all later jobs of the session: results are in tables, so no shuffle is read twice
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._quillon_path = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of stage() that no DataFrame to come will read."""
+    for df in frames:
+        if path := getattr(df, "_quillon_path", None):
+            remove(df.sparkSession, path)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with an underscore for each time that df has a column of that name."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

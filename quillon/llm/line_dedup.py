@@ -3,274 +3,440 @@
 A line is the set of its words, lower-cased. A line goes if a line with Jaccard similarity of at least ``similarity`` comes
 before it in (doc_id, line number) order; the input decides, not what is left. Words are ordered by rarity, from counts over the
 whole table in a fixed number of slots: any order that depends on the word alone gives exact results. Two similar lines then
-share a word in their prefixes, n - ceil(t n) + 1 words; where their first shared word is frequent they share the next one in a
-prefix one longer as well, and keys of two or three words keep candidate lists short. Length, position and a 64-bit parity bitmap
-of the words (its difference is at most the difference of the sets) filter candidates inside the join; the rest are verified on
-the words themselves.
-
-Key rows are sorted by key and place, so a line is held against the NEAR lines before it under each key while they stream by.
-Under a key with more lines a large group is not paired out: a line is also held against the key's earliest line, and only lines
-that found no match in either way go to a full join on those keys.
+share a word in their prefixes, n - ceil(t n) + 1 words, which is their key. Where the first shared word is frequent, the key
+takes the next shared one too, from a prefix one longer, and a third one where the two are likely to meet often. A word that
+occurs once is no key. Length, position and a 64-bit parity bitmap of the words (its difference is at most the difference of the
+sets) filter candidates; the rest are verified on the words themselves.
+
+Equal sets settle by their first place, so only distinct sets are compared. Their key rows travel in arrays, one for each of a
+number of key ranges, and meet there in order of size: a set is held against the smaller ones that its position allows, among those
+whose positions allow larger ones. Under a key where these are more than NEAR, only the nearest in size and the key's first set are
+compared; the sets that find no match that way go to a full join on those keys.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import combinations
-from zlib import crc32
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stage
+from quillon.llm.common import free, release, stage
 
 SLOTS = 1 << 21
-#: Estimated count from which a first shared word needs a second one in the key, and a third one.
-FREQUENT = (128, 128 << 11)
-#: Words whose numbers a task keeps.
-KEEP = 500_000
-#: Lines before a line that are compared while the rows of a key stream by.
-NEAR = 48
-#: A second parity bitmap in four parts, for the full join only.
-WIDE = ["w0", "w1", "w2", "w3"]
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Word counts over all texts, by slot, as steps of half a power of two: SLOTS bytes, whatever the input."""
+#: Expected sets under a key from which it takes one more word.
+FREQUENT = 1024
+#: Bytes of text, lines and key rows that a task handles at a time.
+WINDOW, LINES, ROWS = 1 << 20, 1 << 16, 1 << 20
+#: Smaller sets that a set is compared with under a key.
+NEAR = 256
+#: Key ranges for each shuffle partition, and rows of one range that are compared at a time.
+FINE, LOT = 8, 1 << 22
+#: A key row, column after column in an array: key, place, size, position, set, bitmap; and a set's row: set, doc_id, line.
+KEY = [("key", "<u4"), ("place", "<u4"), ("n", "<u4"), ("i", "<u4"), ("s", "<i8"), ("bits", "<u8")]
+SET = [("s", "<i8"), ("doc_id", "<i8"), ("line", "<i4")]
+KEYS, SETS, GONE = range(3)
+NULL = -(1 << 63)
+#: Seeded numbers for the bytes, and which bytes are no white space.
+BYTES = np.random.default_rng(80).integers(0, 1 << 64, 256, dtype=np.uint64)
+SOLID = np.array([not bytes([x]).isspace() for x in range(256)], np.int8)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and those of its inverse modulo 2^64."""
+    odd = 0x9E3779B97F4A7C15
+    made = [np.full(size, x, np.uint64) for x in (odd, pow(odd, -1, 1 << 64))]
+    for x in made:
+        x[0] = 1
+    return np.cumprod(made[0]), np.cumprod(made[1])
+
+
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, 64-bit hash) of the words of a lower-cased text: sums of its bytes' numbers times powers, from running sums."""
+    data = np.frombuffer(text, np.uint8)
+    edge = np.diff(np.concatenate([[0], SOLID[data], [0]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.empty(len(begin), np.uint64)
+    k = 0
+    while k < len(begin):
+        # words of about WINDOW bytes at a time, one at least
+        m = max(k + 1, int(np.searchsorted(end, begin[k] + WINDOW, "right")))
+        a, b = int(begin[k]), int(end[m - 1])
+        up, down = powers(1 << max(20, (b - a).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[data[a:b]] * up[: b - a])])
+        out[k:m] = mixed((sums[end[k:m] - a] - sums[begin[k:m] - a]) * down[begin[k:m] - a])
+        k = m
+    return begin, out
+
+
+def lots(batches) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(doc_ids, lower-cased texts), about WINDOW bytes at a time."""
+    import pyarrow as pa
+
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            if text:
+                ids.append(NULL if d is None else d)
+                texts.append(text.lower())
+                size += len(text)
+                if size > WINDOW:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Word counts over all texts, by slot, as steps of half a power of two: SLOTS bytes, whatever the input; level 2 is a word
+    that occurs once. And the number of lines."""
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            seen: Counter[bytes] = Counter()
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update((text or b"").lower().split())
-            if seen:
-                total += np.bincount(np.fromiter((crc32(x) % SLOTS for x in seen), np.int64, len(seen)), np.fromiter(seen.values(), np.float64, len(seen)), SLOTS).astype(np.int64)
+        total, lines = np.zeros(SLOTS, np.int64), 0
+        for _, texts in lots(batches):
+            text = b"\n".join(texts)
+            at, n = np.unique(hashed(text)[1] & np.uint64(SLOTS - 1), return_counts=True)
+            total[at] += n
+            lines += text.count(b"\n") + 1
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], lines))], ["slot", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.lit(0), F.col("text").cast("string").alias("text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.uint8)
-    out[np.asarray(rows.column("slot"))] = np.round(2 * np.log2(np.asarray(rows.column("n")) + 1.0)).astype(np.uint8)
+    slot, n = np.asarray(rows.column("slot")), np.asarray(rows.column("n"))
+    out[slot[slot >= 0]] = np.round(2 * np.log2(n[slot >= 0] + 1.0)).astype(np.uint8)
+    return out, int(n[slot < 0].sum())
+
+
+def sets_of(hashes: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of lines 0 to 65,535, by hash, to (line, word numbers, begin of each line's numbers, their count).
+
+    A number is the level of the word's count above 40 bits of its hash: numbers in order have the rarest first."""
+    found = (line.astype(np.uint64) << np.uint64(48)) | (levels[hashes & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24))
+    found.sort()
+    if len(found):
+        found = found[np.append(True, found[1:] != found[:-1])]
+    n = np.bincount((found >> np.uint64(48)).astype(np.int64))
+    line = np.flatnonzero(n)
+    return line, found & np.uint64((1 << 48) - 1), np.cumsum(n[line]) - n[line], n[line]
+
+
+def identity(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set a 64-bit hash and a parity bitmap."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = mixed(words)
+    s = mixed(np.add.reduceat(hashes, begin) + n.astype(np.uint64))
+    return s.view(np.int64), np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), begin)
+
+
+def keys(words: np.ndarray, begin: np.ndarray, n: np.ndarray, similarity: float, total: float, frequent: float = FREQUENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key hash, set, position of its first word) of sets of four words or more; smaller ones match equals only.
+
+    total: lines of the corpus, which turns the counts of words into an expected number of lines that have them all. Two similar
+    sets share four words at least, and miss no more than prefix - 1 of the words before the k-th that they share."""
+    count = lambda at: np.exp2((words[at] >> np.uint64(40)).astype(float) / 2)
+    prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    prefix[n < 4] = 0
+    owner = np.repeat(np.arange(len(n)), prefix)
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    last = begin + np.minimum(prefix, n) - 1
+
+    def longer(owner, i, at, key, expected, size):
+        """Keys of ``size`` words from those of one word less, which end at the places at."""
+        d = 0
+        while len(at):
+            d += 1
+            keep = at + d <= np.minimum(last[owner] + size - 1, begin[owner] + n[owner] - 1)
+            owner, i, at, key, expected = owner[keep], i[keep], at[keep], key[keep], expected[keep]
+            made, fewer = mixed(key * np.uint64(3) + mixed(words[at + d])), expected * count(at + d) / total
+            rare = fewer <= frequent if size < 4 else np.full(len(at), True)
+            yield made[rare], owner[rare], i[rare]
+            if not rare.all():
+                yield from longer(*(x[~rare] for x in (owner, i, at + d, made, fewer)), size + 1)
+
+    at = begin[owner] + i
+    expected = count(at)
+    one = (expected <= frequent) & ((words[at] >> np.uint64(40)) > 2)
+    yield mixed(words[at[one]]), owner[one], i[one]
+    more = expected > frequent
+    yield from longer(owner[more], i[more], at[more], mixed(words[at[more]]), expected[more], 2)
+
+
+def packed(columns: list[np.ndarray], layout: list[tuple[str, str]], bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its rows column after column)."""
+    order = np.argsort(bucket, kind="stable")
+    columns = [np.asarray(c, t)[order] for c, (_, t) in zip(columns, layout, strict=True)]
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+        yield int(bucket[a]), b"".join([c[a:b].tobytes() for c in columns])
+
+
+def unpacked(parts: list[bytes], layout: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """The rows of arrays made by packed()."""
+    width = sum(np.dtype(t).itemsize for _, t in layout)
+    out, skip = {}, 0
+    for name, t in layout:
+        size = np.dtype(t).itemsize
+        out[name] = np.concatenate([np.frombuffer(x, t, len(x) // width, len(x) // width * skip) for x in parts])
+        skip += size
     return out
 
 
-class Lines(dict):
-    """Word to number, a step of the word's count above 56 bits of its hash; numbers() gives those of a line, rarest first."""
-
-    def __init__(self, levels: np.ndarray):
-        super().__init__()
-        self.levels = levels.tobytes()
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > KEEP:
-            self.clear()
-        found = self[word] = (self.levels[crc32(word) % SLOTS] << 56) | (xxhash.xxh64_intdigest(word) >> 8)
-        return found
-
-    def numbers(self, line: bytes) -> list[int]:
-        return sorted(set(map(self.__getitem__, line.lower().split())))
-
-
-def bitmaps(whole: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Of each set, at its start in the word numbers: a parity bitmap of 64 bits, and one of 256 in four parts."""
-    one, low = np.uint64(1), np.uint64(63)
-    part, bit = whole >> np.uint64(12) & np.uint64(3), one << (whole >> np.uint64(6) & low)
-    values = [one << (whole & low), *(np.where(part == np.uint64(k), bit, np.uint64(0)) for k in range(4))]
-    return [np.bitwise_xor.reduceat(x, starts).view(np.int64) for x in values]
-
-
-def keys(ids: list[int], similarity: float, frequent: tuple[int, int]) -> list[tuple[int, int]]:
-    """(key, position of its first word) of a line; frequent: the levels that ask for one and two more words."""
-    n = len(ids)
-    prefix = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    out = []
-    for i in range(prefix):
-        level = ids[i] >> 56
-        if level < frequent[0]:
-            out.append((ids[i], i))
-        else:
-            more = 1 if level < frequent[1] else 2
-            out += [(hash((ids[i], *rest)), i) for rest in combinations(ids[i + 1 : prefix + more], more)]
-    return out
-
-
-def signatures(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """All lines with words, (doc_id, line, s, n, bits, w0 to w3, keys, at): hash, size and parity bitmaps of the set, and its keys with the
-    positions of their first words. A part gives keys of a set
-    only where its place is the earliest so far, and none to sets of fewer than four words, which match equals only."""
-    frequent = tuple(int(round(2 * np.log2(x + 1.0))) for x in FREQUENT)
+def signatures(docs: DataFrame, levels: np.ndarray, total: int, similarity: float, buckets: int) -> DataFrame:
+    """(kind, bucket, data): arrays of key rows by key, of sets with their first place in a lot of lines by set, and of the
+    places of lines in the lot that repeat a set."""
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    low, span = low or 0, max(1, (high or 0) - (low or 0) + 1)
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        lines, seen = Lines(levels), {}
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            ids = np.asarray(batch.column(0).fill_null(-(1 << 63)))
-            for begin in range(0, len(texts), 64):
-                doc, where, sets, size, words, ends, key, at = [], [], [], [], [], [0], [], []
-                for k, text in enumerate(texts[begin : begin + 64]):
-                    for no, line in enumerate((text or b"").split(b"\n")):
-                        found = lines.numbers(line)
-                        n = len(found)
-                        if not n:
-                            continue
-                        s = xxhash.xxh64_intdigest(np.array(found, np.uint64).tobytes())
-                        words += found
-                        if n >= 4 and (s not in seen or (ids[begin + k], no) < seen[s]):
-                            seen[s] = (ids[begin + k], no)
-                            for x, i in keys(found, similarity, frequent):
-                                key.append(x if x < 1 << 63 else x - (1 << 64))
-                                at.append(i)
-                        doc.append(begin + k)
-                        where.append(no)
-                        sets.append(s)
-                        size.append(n)
-                        ends.append(len(key))
-                if doc:
-                    offsets = pa.array(np.array(ends, np.int32))
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, t))) for x, t in ((key, np.int64), (at, np.int32))]
-                    made = [pa.array(ids[doc]), pa.array(np.array(where, np.int32)), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(np.array(size, np.int32)), *map(pa.array, bitmaps(np.array(words, np.uint64), np.cumsum([0, *size[:-1]])))]
-                    yield pa.RecordBatch.from_arrays([*made, *lists], ["doc_id", "line", "s", "n", "bits", *WIDE, "keys", "at"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, f"doc_id long, line int, s long, n int, bits long, {', '.join(f'{w} long' for w in WIDE)}, keys array<long>, at array<int>"), "lines")
-
-
-def meetings(similarity: float, near: int = NEAR):
-    """Rows (key, doc_id, line, s, n, bits, i), sorted by key and place, to candidate pairs (doc_id, line, doc_id2, line2), and to one
-    row with only the key for each key with more than ``near`` lines."""
-
-    def could(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the pairs may have similar words, by place, size, position and bitmap."""
-        _, doc, line, s, n, bits, i = x
-        keep = (n[b] >= similarity * n[a] - 1e-9) & (n[a] >= similarity * n[b] - 1e-9)
-        a, b = a[keep], b[keep]
-        need = np.ceil(similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
-        keep = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= n[a] + n[b] - 2 * need)
-        keep &= ((doc[a] != doc[b]) | (line[a] != line[b])) & ((s[a] != s[b]) | (bits[a] != bits[b]) | (n[a] != n[b]))
-        return np.stack([a[keep], b[keep]])
+        def table(kind: int, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["kind", "bucket", "data"])
+
+        def pieces():
+            """(doc_id and line number of each line with words, word numbers, their begin, their count), for at most 65,536 lines at a time."""
+            for ids, texts in lots(batches):
+                text = b"\n".join(texts)
+                many = np.array([x.count(b"\n") + 1 for x in texts])
+                doc = np.repeat(np.array(ids, np.int64), many)
+                no = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                begin, hashes = hashed(text)
+                line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), begin)
+                for at in range(0, len(doc), LINES):
+                    a, b = np.searchsorted(line, [at, at + LINES])
+                    if a < b:
+                        own, *rest = sets_of(hashes[a:b], line[a:b] - at, levels)
+                        yield doc[own + at], no[own + at], *rest
+
+        for own_doc, own_no, words, begin, n in pieces():
+            s, bits = identity(words, begin, n)
+            order = np.lexsort((own_no, own_doc, s))
+            new = np.append(True, s[order][1:] != s[order][:-1])[: len(order)]
+            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            again = order[(own_doc[order] > own_doc[lead]) | (own_no[order] > own_no[lead])]
+            keep = np.sort(order[new])
+            yield table(GONE, list(packed([s[again], own_doc[again], own_no[again]], SET, (own_doc[again] % buckets).astype(np.uint16))))
+            yield table(SETS, list(packed([s[keep], own_doc[keep], own_no[keep]], SET, (s[keep].view(np.uint64) % np.uint64(buckets)).astype(np.uint16))))
+            place = np.where(own_doc == NULL, 0.0, 1 + (own_doc - low) / span * ((1 << 32) - 2)).astype(np.uint32)
+            only = np.zeros(len(n), np.int64)
+            only[keep] = n[keep]
+            held, size = [], 0
+
+            def flush():
+                key, owner, i = (np.concatenate(x) for x in zip(*held, strict=True))
+                rows = [key.astype(np.uint32), place[owner], n[owner], i, s[owner], bits[owner]]
+                held.clear()
+                return table(KEYS, list(packed(rows, KEY, ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16))))
+
+            for key, owner, i in keys(words, begin, only, similarity, total):
+                held.append((key, owner, i))
+                size += len(key)
+                if size > ROWS:
+                    yield flush()
+                    size = 0
+            if size:
+                yield flush()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, bucket int, data binary")
+
+
+def could(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs may have similar words, by bitmap, size and position; pairs of the same set are none."""
+    n, i, s = x["n"], x["i"], x["s"]
+    both, share = n[a] + n[b], similarity / (1 + similarity)
+    keep = np.bitwise_count(x["bits"][a] ^ x["bits"][b]) <= both * (1 - 2 * share) + 1e-9
+    a, b, both = a[keep], b[keep], both[keep]
+    need = np.ceil(share * both - 1e-9)
+    keep = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (n[b] >= similarity * n[a] - 1e-9) & (n[a] >= similarity * n[b] - 1e-9) & (s[a] != s[b])
+    return a[keep], b[keep]
+
+
+def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a, b) of sets among key rows, and which rows (of x, put in order) are of a key that is not paired out: all
+    if cut, else those of keys where a set has more than ``near`` sets of fitting size before it."""
+    at = lambda size: (x["key"].astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
+    order = np.argsort(at(x["n"]), kind="stable")
+    for name in x:
+        x[name] = x[name][order]
+    x["n"], x["i"] = x["n"].astype(np.int64), x["i"].astype(np.int64)
+    n, rows = x["n"], np.arange(len(x["n"]))
+    # the largest partner that a row's position allows; rows that allow none of their own size are no smaller partners
+    most = np.floor((n - x["i"]) * (1 + similarity) / similarity - n + 1e-9).astype(np.int64)
+    smaller = np.flatnonzero(most >= n)
+    sizes = at(n)[smaller]
+    low = np.searchsorted(sizes, at(np.ceil(similarity * n - 1e-9)))
+    high = np.searchsorted(sizes, at(np.maximum(np.minimum(n, most), 0)), "right")
+    counts = np.maximum(high - low, 0)
+    hot = np.unique(x["key"][counts > near]) if not cut else np.unique(x["key"])
+    hot = np.flatnonzero(np.isin(x["key"], hot))
+    counts = np.minimum(counts, 0 if cut else near)
+    found = [(np.zeros(0, np.int64),) * 2]
+    ends = np.cumsum(counts)
+    begin = 0
+    while begin < len(rows):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ROWS, "right")))
+        c = counts[begin:end]
+        b = np.repeat(high[begin:end] - c, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        found.append(could(x, np.repeat(rows[begin:end], c), smaller[b], similarity))
+        begin = end
+    if len(hot):  # the first set of each key by place
+        by = hot[np.lexsort((x["place"][hot], x["key"][hot]))]
+        new = np.append(True, x["key"][by][1:] != x["key"][by][:-1])
+        found.append(could(x, by, by[np.flatnonzero(new)][np.cumsum(new) - 1], similarity))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    a, b = x["s"][a], x["s"][b]
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new], hot
+
+
+def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) -> DataFrame:
+    """Arrays of signatures(), together by kind and bucket, to rows (kind, key, a, b, n, i, bits, line): for KEYS candidate pairs
+    of sets (a, b), or with a key the rows a, at place b, of a key with more than ``near`` sets; for SETS the first place (b, line) of set a;
+    for GONE the places (b, line) of lines whose set comes before."""
 
     def run(batches):
         import pyarrow as pa
 
-        rest, before = None, 0  # the last key's rows: its first and the latest ones; how many it had
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+        def table(kind, size, **columns):
+            made = [pa.array(np.full(size, kind, np.int32)) if name == "kind" else pa.array(columns[name], t) if name in columns else pa.nulls(size, t) for name, t in zip(names, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(made, names)
+
+        names = ["kind", "key", "a", "b", "n", "i", "bits", "line"]
+
+        def close(kind: int, bucket: int, parts: list[bytes], cut: bool):
+            if kind == KEYS:
+                x = unpacked(parts, KEY)
+                a, b, hot = compared(x, similarity, near, cut)
+                yield table(KEYS, len(a), a=a, b=b)
+                if len(hot):
+                    yield table(KEYS, len(hot), key=(np.int64(bucket) << 32) | x["key"][hot].astype(np.int64), a=x["s"][hot], b=x["place"][hot].astype(np.int64), n=x["n"][hot], i=x["i"][hot], bits=x["bits"][hot].view(np.int64))
+            else:
+                x = unpacked(parts, SET)
+                gone = np.arange(len(x["s"]))
+                if kind == SETS:
+                    order = np.lexsort((x["line"], x["doc_id"], x["s"]))
+                    x = {name: c[order] for name, c in x.items()}
+                    new = np.append(True, x["s"][1:] != x["s"][:-1])
+                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    gone = np.flatnonzero((x["doc_id"] > x["doc_id"][lead]) | (x["line"] > x["line"][lead]))
+                    new = np.flatnonzero(new)
+                    yield table(SETS, len(new), a=x["s"][new], b=x["doc_id"][new], line=x["line"][new])
+                yield table(GONE, len(gone), b=x["doc_id"][gone], line=x["line"][gone])
+
+        now, parts, size, cut = None, [], 0, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = [np.asarray(c).astype(np.int64) for c in batch.columns]
-            had = 0
-            if rest is not None and rest[0][0] == x[0][0]:
-                had = len(rest[0])
-                x = [np.concatenate(c) for c in zip(rest, x, strict=True)]
-            key, total = x[0], len(x[0])
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            first = np.repeat(starts, np.diff(np.append(starts, total)))
-            rank = np.arange(total) - first
-            if had:
-                rank[first == 0] += before - had
-            new = np.arange(total) >= had
-            found = []
-            for d in range(1, near + 1):
-                a = np.flatnonzero(new & (np.arange(total) - d >= first))
-                if not len(a):
-                    break
-                found.append(could(x, a, a - d))
-            a = np.flatnonzero(new & (rank > near))
-            found.append(could(x, a, first[a]))
-            a, b = np.concatenate(found, 1)
-            hot = key[new & (rank == near)]
-            none = pa.nulls(len(hot), pa.int64())
-            pairs = [pa.array(np.concatenate([key[a]])), pa.array(x[1][a]), pa.array(x[2][a]), pa.array(x[1][b]), pa.array(x[2][b])]
-            whole = [pa.concat_arrays([p, q]) for p, q in zip(pairs, [pa.array(hot), none, none, none, none], strict=True)]
-            if len(whole[0]):
-                yield pa.RecordBatch.from_arrays(whole, ["key", "doc_id", "line", "doc_id2", "line2"])
-            last = int(starts[-1])
-            before = int(rank[-1]) + 1
-            keep = np.unique(np.append(last, np.arange(max(last, total - near), total)))
-            rest = [c[keep] for c in x]
-
-    return run
-
-
-def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """(doc_id, line) of pairs (doc_id, line, doc_id2, line2) whose lines are similar; both lines are read from their texts again."""
-    wanted = pairs.select("doc_id", "line").union(pairs.select("doc_id2", "line2")).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+            for kind, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a range of more rows than fit is compared in lots, and all its keys go on to the full join
+                full = kind == KEYS and size + len(data) > lot * 32
+                if parts and (full or (kind, bucket) != now):
+                    cut = cut or full
+                    yield from close(*now, parts, cut)
+                    parts, size, cut = [], 0, cut and (kind, bucket) == now
+                now = (kind, bucket)
+                parts.append(data)
+                size += len(data)
+        if parts:
+            yield from close(*now, parts, cut)
+
+    return rows.mapInArrow(run, "kind int, key long, a long, b long, n int, i int, bits long, line int")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """(s, doc_id, line): of pairs (a, b) of sets with similar words, the one whose first place comes later; the lines are read from their texts."""
+    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(firsts, "s")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "s")).alias("own"))
 
     def run(batches):
         import pyarrow as pa
 
-        lines = Lines(levels)
         for batch in batches:
-            doc, no, words = [], [], []
+            doc, no, sets, words = [], [], [], []
             for d, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 parts = (text or b"").split(b"\n")
-                for k in own:
-                    if k < len(parts):
+                for x in own:
+                    if x["line"] < len(parts):
                         doc.append(d)
-                        no.append(k)
-                        words.append(np.array(lines.numbers(parts[k]), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "line", "words"])
-
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = stage(texts.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, words array<long>"), "words")
-    other = words.select(F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
-    shared = F.size(F.array_intersect("words", "words2"))
-    near = shared >= similarity * (F.size("words") + F.size("words2") - shared) - 1e-9
-    return pairs.join(words, ["doc_id", "line"]).join(other, ["doc_id2", "line2"]).where(near).select("doc_id", "line").distinct()
-
-
-def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR) -> DataFrame:
+                        no.append(x["line"])
+                        sets.append(x["s"])
+                        words.append(list(set(parts[x["line"]].lower().split())))
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["s", "doc_id", "line", "words"])
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = stage(texts.join(wanted, "doc_id").select("doc_id", "text", "own").mapInArrow(run, "s long, doc_id long, line int, words array<string>"), "words")
+    side = lambda k: words.select(F.col("s").alias(k), F.struct("doc_id", "line").alias(f"at_{k}"), F.col("words").alias(f"words_{k}"))
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    near = (shared >= similarity * (F.size("words_a") + F.size("words_b") - shared) - 1e-9) & (F.col("at_a") != F.col("at_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
+    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a").alias("s"), F.col("at_a").alias("at"))).otherwise(F.struct(F.col("b").alias("s"), F.col("at_b").alias("at")))
+    found = stage(both.select(later.alias("x")).select("x.s", "x.at.doc_id", "x.at.line").distinct(), "found")
+    release(words)
+    return found
+
+
+def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR, lot: int = LOT) -> DataFrame:
     """(doc_id, lines array<int>): numbers, from 0, of the lines that go, for documents that lose any.
 
     Lines without a word stay. A null doc_id comes before all others; lines at the same place of rows that repeat a doc_id count
-    as one line. A null text has no lines that could go. An empty table gives an empty result.
+    as one line. A null text has no lines that could go. An empty table gives an empty result. A very long text is handled in
+    lots of lines, a very long line whole.
     """
-    levels = rarity(docs)
-    lines = signatures(docs, levels, similarity)
-    place, same = F.struct("doc_id", "line"), ["s", "n", "bits"]
-    firsts = lines.groupBy(*same).agg(F.min(place).alias("first"))
-    later = lines.select("doc_id", "line", *same).join(firsts, same).where(place > F.col("first")).select("doc_id", "line")
-
-    rows = lines.where("size(keys) > 0").select("doc_id", "line", *same, *WIDE, F.inline(F.arrays_zip("keys", "at")))
-    rows = rows.select(F.col("keys").alias("key"), "doc_id", "line", "s", "n", "bits", F.col("at").alias("i"), *WIDE)
+    levels, total = rarity(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.drop(*WIDE).repartition(parts, "key").sortWithinPartitions("key", "doc_id", "line")
-    met = stage(met.mapInArrow(meetings(similarity, near), "key long, doc_id long, line long, doc_id2 long, line2 long"), "met")
-    pair = [F.col("doc_id"), F.col("line").cast("int"), F.col("doc_id2"), F.col("line2").cast("int").alias("line2")]
-    ahead = stage(met.where("doc_id2 is not null").select(*pair).distinct(), "pairs")
-    found = stage(verified(docs, ahead, levels, similarity), "found")
-    gone = later.union(found)
-
-    hot = met.where("doc_id2 is null").select("key").distinct()
-    if not hot.isEmpty():
-        members = stage(rows.join(hot, "key", "left_semi"), "members")
-        open_ = members.join(found, ["doc_id", "line"], "left_anti")
-        a, b = open_.alias("a"), members.alias("b")
-        could = F.expr(f"""(b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line)) and (a.s <> b.s or a.bits <> b.bits or a.n <> b.n)
-            and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
+    rows = signatures(docs, levels, total, similarity, min(parts * FINE, 1 << 16)).repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    found = stage(met(rows, similarity, near, lot), "met")
+    gone = found.where(F.col("kind") == GONE).select(F.col("b").alias("doc_id"), "line")
+    firsts = found.where(F.col("kind") == SETS).select(F.col("a").alias("s"), F.col("b").alias("doc_id"), "line")
+    pairs = stage(found.where((F.col("kind") == KEYS) & F.col("key").isNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    similar = verified(docs, pairs, firsts, similarity)
+    gone = gone.union(similar.select("doc_id", "line"))
+
+    members = found.where("key is not null").select("key", F.col("a").alias("s"), F.col("b").alias("place"), "n", "i", "bits")
+    if not members.isEmpty():
+        a, b = members.join(similar, "s", "left_anti").alias("a"), members.alias("b")
+        could = F.expr(f"""a.key = b.key and b.place <= a.place and a.s <> b.s and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
             and bit_count(a.bits ^ b.bits) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
-            and {" + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WIDE)} <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
             and least(a.n - a.i, b.n - b.i) >= ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)""")
-        pairs = a.join(b, F.expr("a.key = b.key") & could).select(F.col("a.doc_id"), F.col("a.line"), F.col("b.doc_id").alias("doc_id2"), F.col("b.line").alias("line2")).distinct()
-        pairs = stage(pairs.join(ahead, ["doc_id", "line", "doc_id2", "line2"], "left_anti"), "pairs")
-        gone = gone.union(verified(docs, pairs, levels, similarity))
-    return stage(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")), "removed")
+        more = a.join(b, could).select(F.least("a.s", "b.s").alias("a"), F.greatest("a.s", "b.s").alias("b")).distinct()
+        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        gone = gone.union(verified(docs, more, firsts, similarity).select("doc_id", "line"))
+    out = stage(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines")), "removed")
+    release(found, pairs)
+    return out
 
 
-def dedup(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs with text without the lines that go, and n_lines, removed_lines. Other columns stay as they are."""
-    gone = removed(docs, similarity).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("removed_lines"))
-    rows = docs.drop("n_lines", "removed_lines")
-    rows = rows.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_doc"), "left").drop("_doc")
+def dedup(docs: DataFrame, similarity: float = 0.8, out: str = "lines") -> DataFrame:
+    """docs with text without the lines that go, and a struct ``out`` (n_lines, removed); where docs has a column of that name, ``out`` gets
+    an underscore more. Other columns stay as they are."""
+    out, key = free(docs, out), free(docs, "_doc")
+    gone = removed(docs, similarity).select(F.col("doc_id").alias(key), F.col("lines").alias(f"{key}_gone"))
+    rows = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL)) == gone[key], "left").drop(key)
+    lost = F.col(f"{key}_gone")
     parts = F.split(F.col("text").cast("string"), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts).cast("long"), F.lit(0)))
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(removed_lines, i)), '\\n')")
-    return rows.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(kept)).withColumn("removed_lines", F.coalesce("removed_lines", F.expr("cast(array() as array<int>)")))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lost, i)), "\n")
+    told = F.struct(F.coalesce(F.size(parts).cast("long"), F.lit(0)).alias("n_lines"), F.coalesce(lost, F.expr("cast(array() as array<int>)")).alias("removed"))
+    return rows.withColumns({out: told, "text": F.when(lost.isNull(), F.col("text")).otherwise(kept)}).select(*docs.columns, out)
+
+
+def cleaned(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs with the lines that go taken out of text; the same columns."""
+    return dedup(docs, similarity).select(*docs.columns)

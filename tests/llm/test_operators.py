@@ -99,9 +99,23 @@ def test_language(spark, sf, docs, none):
 def test_line_dedup(spark, sf, docs, none):
     for df in (docs, documents(spark, sf).where("n_chars < 4000"), none):
         assert {r.doc_id: r.lines for r in line_dedup.removed(df).collect()} == brute.removed_lines(pairs(df))
-    found = {(r.doc_id, r.n): r for r in line_dedup.dedup(docs).collect()}
-    assert len(found) == docs.count()
+    clash = docs.withColumn("lines", F.lit("mine")).withColumn("_doc", F.lit(1))
+    found = {(r.doc_id, r.n): r for r in line_dedup.dedup(clash).collect()}
+    assert len(found) == docs.count() and all(r["lines"] == "mine" and r["lines_"].n_lines == (0 if t is None else t.count("\n") + 1) for r, t in ((found[d, n], t) for n, (d, t) in enumerate(planted())))
     assert next(r.text for (d, _), r in found.items() if d == 52) == "same line of five words"
+    assert line_dedup.cleaned(docs).columns == docs.columns and line_dedup.cleaned(none).count() == 0
+
+
+def test_line_dedup_of_long_texts(spark):
+    """A line of more words than a window of bytes holds, a text of more lines than a lot, words longer than a window."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(200_000)]
+    near = [*long[:190_000], *(word() for _ in range(10_000))]
+    many = "\n".join(f"{k} one two three four" for k in range(70_000)) + "\n0 one two three four"
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, many), (4, "x" * 3_000_000 + " b c d e"), (5, "e d c b " + "x" * 3_000_000)], "doc_id long, text string")
+    found = {r.doc_id: r.lines for r in line_dedup.removed(df).collect()}
+    assert found == {2: [0], 3: [70_000], 5: [0]}
 
 
 def test_line_dedup_of_large_groups(spark, sf):
@@ -111,21 +125,39 @@ def test_line_dedup_of_large_groups(spark, sf):
     before = spark.conf.get(size)
     spark.conf.set(size, "5")
     try:
-        assert {r.doc_id: r.lines for r in line_dedup.removed(df, near=1).collect()} == brute.removed_lines(pairs(df))
+        want = brute.removed_lines(pairs(df))
+        assert {r.doc_id: r.lines for r in line_dedup.removed(df, near=1).collect()} == want
+        assert {r.doc_id: r.lines for r in line_dedup.removed(df, lot=64).collect()} == want
     finally:
         spark.conf.set(size, before)
 
 
-def test_line_keys_share(spark):
+def test_line_keys_share():
     """Any two similar sets share a key, whatever the counts of their words."""
     random.seed(9)
     for _ in range(400):
-        level = {w: random.choice([0, 20, 40]) for w in range(80)}
+        level = {w: random.choice([3, 6, 12, 20]) for w in range(80)}
         a = set(random.sample(range(80), random.randint(4, 40)))
         b = {random.randrange(80) if random.random() < 0.1 else x for x in a}
         if a != b and min(len(a), len(b)) >= 4 and 5 * len(a & b) >= 4 * len(a | b):
-            ka, kb = ({k for k, _ in line_dedup.keys(sorted(level[w] << 56 | w for w in s), 0.8, (14, 36))} for s in (a, b))
-            assert ka & kb
+            sets = [np.array(sorted(level[w] << 40 | w for w in s), np.uint64) for s in (a, b)]
+            n = np.array([len(a), len(b)])
+            found = [set(), set()]
+            for key, owner, _ in line_dedup.keys(np.concatenate(sets), np.array([0, len(a)]), n, 0.8, 100.0, random.choice([1, 4, 50])):
+                for k, o in zip(key.tolist(), owner.tolist()):
+                    found[o].add(k)
+            assert found[0] & found[1]
+
+
+def test_line_words_hash_alike(monkeypatch):
+    """The same words have the same hashes wherever they stand, and no white space enters them."""
+    text = "é a\tbb\x0bccc\r\nbb  a\x0c é\x1c ".encode() * 50
+    begin, found = line_dedup.hashed(text)
+    words = text.split()
+    assert [text[b : b + len(w)] for b, w in zip(begin.tolist(), words, strict=True)] == words
+    assert len(set(zip(words, found.tolist()))) == len(set(words)) == len(set(found.tolist()))
+    monkeypatch.setattr(line_dedup, "WINDOW", 7)
+    assert (line_dedup.hashed(text)[1] == found).all() and len(line_dedup.hashed(b" ")[0]) == 0
 
 
 def test_quality_rules(spark, sf, docs, none, labels):
