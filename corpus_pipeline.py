@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that come again, or nearly, go from the later place; n_chars follows the text."""
     ship(spark)
-    found = line_dedup.dedup(docs)
+    found = line_dedup.cleaned(docs)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
