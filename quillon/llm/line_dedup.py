@@ -6,12 +6,12 @@ whole table in a fixed number of slots: any order that depends on the word alone
 share a word in their prefixes, n - ceil(t n) + 1 words, which is their key. Where the first shared word is frequent, the key
 takes the next shared one too, from a prefix one longer, and a third one where the two are likely to meet often. A word that
 occurs once is no key. Length, position and a 64-bit parity bitmap of the words (its difference is at most the difference of the
-sets) filter candidates; the rest are verified on the words themselves.
+sets) filter candidates; the rest are verified on the 64-bit hashes of all their words, read from the texts again.
 
 Equal sets settle by their first place, so only distinct sets are compared. Their key rows travel in arrays, one for each of a
 number of key ranges, and meet there in order of size: a set is held against the smaller ones that its position allows, among those
-whose positions allow larger ones. Under a key where these are more than NEAR, only the nearest in size and the key's first set are
-compared; the sets that find no match that way go to a full join on those keys.
+whose positions allow larger ones. Under a key where these are more than NEAR, or more than FEW of them pass the filters, only some and
+the key's first set are compared; the sets that find no match that way go to a full join on those keys.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ SLOTS = 1 << 21
 FREQUENT = 1024
 #: Bytes of text, lines and key rows that a task handles at a time.
 WINDOW, LINES, ROWS = 1 << 20, 1 << 16, 1 << 20
-#: Smaller sets that a set is compared with under a key.
-NEAR = 256
+#: Smaller sets that a set is compared with under a key, and candidates among them that go on to be verified.
+NEAR, FEW = 256, 8
 #: Key ranges for each shuffle partition, and rows of one range that are compared at a time.
 FINE, LOT = 8, 1 << 22
-#: A key row, column after column in an array: key, place, size, position, set, bitmap; and a set's row: set, doc_id, line.
+#: A key row, column after column in an array: key, place, size, words left out before the key's last one, set, bitmap; and a set's row: set, doc_id, line.
 KEY = [("key", "<u4"), ("place", "<u4"), ("n", "<u4"), ("i", "<u4"), ("s", "<i8"), ("bits", "<u8")]
 SET = [("s", "<i8"), ("doc_id", "<i8"), ("line", "<i4")]
 KEYS, SETS, GONE = range(3)
@@ -143,7 +143,7 @@ def identity(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 
 def keys(words: np.ndarray, begin: np.ndarray, n: np.ndarray, similarity: float, total: float, frequent: float = FREQUENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key hash, set, position of its first word) of sets of four words or more; smaller ones match equals only.
+    """(key hash, set, words left out before its last word) of sets of four words or more; smaller ones match equals only.
 
     total: lines of the corpus, which turns the counts of words into an expected number of lines that have them all. Two similar
     sets share four words at least, and miss no more than prefix - 1 of the words before the k-th that they share."""
@@ -154,25 +154,25 @@ def keys(words: np.ndarray, begin: np.ndarray, n: np.ndarray, similarity: float,
     i = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     last = begin + np.minimum(prefix, n) - 1
 
-    def longer(owner, i, at, key, expected, size):
+    def longer(owner, at, key, expected, size):
         """Keys of ``size`` words from those of one word less, which end at the places at."""
         d = 0
         while len(at):
             d += 1
             keep = at + d <= np.minimum(last[owner] + size - 1, begin[owner] + n[owner] - 1)
-            owner, i, at, key, expected = owner[keep], i[keep], at[keep], key[keep], expected[keep]
+            owner, at, key, expected = owner[keep], at[keep], key[keep], expected[keep]
             made, fewer = mixed(key * np.uint64(3) + mixed(words[at + d])), expected * count(at + d) / total
             rare = fewer <= frequent if size < 4 else np.full(len(at), True)
-            yield made[rare], owner[rare], i[rare]
+            yield made[rare], owner[rare], (at + d - begin[owner] - size + 1)[rare]
             if not rare.all():
-                yield from longer(*(x[~rare] for x in (owner, i, at + d, made, fewer)), size + 1)
+                yield from longer(*(x[~rare] for x in (owner, at + d, made, fewer)), size + 1)
 
     at = begin[owner] + i
     expected = count(at)
     one = (expected <= frequent) & ((words[at] >> np.uint64(40)) > 2)
     yield mixed(words[at[one]]), owner[one], i[one]
     more = expected > frequent
-    yield from longer(owner[more], i[more], at[more], mixed(words[at[more]]), expected[more], 2)
+    yield from longer(owner[more], at[more], mixed(words[at[more]]), expected[more], 2)
 
 
 def packed(columns: list[np.ndarray], layout: list[tuple[str, str]], bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -268,7 +268,7 @@ def could(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: fl
 
 def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (a, b) of sets among key rows, and which rows (of x, put in order) are of a key that is not paired out: all
-    if cut, else those of keys where a set has more than ``near`` sets of fitting size before it."""
+    if cut, else those of keys where a set has more than ``near`` smaller sets of fitting size, or more than FEW candidates."""
     at = lambda size: (x["key"].astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
     order = np.argsort(at(x["n"]), kind="stable")
     for name in x:
@@ -282,8 +282,7 @@ def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool)
     low = np.searchsorted(sizes, at(np.ceil(similarity * n - 1e-9)))
     high = np.searchsorted(sizes, at(np.maximum(np.minimum(n, most), 0)), "right")
     counts = np.maximum(high - low, 0)
-    hot = np.unique(x["key"][counts > near]) if not cut else np.unique(x["key"])
-    hot = np.flatnonzero(np.isin(x["key"], hot))
+    hot = rows if cut else rows[counts > near]
     counts = np.minimum(counts, 0 if cut else near)
     found = [(np.zeros(0, np.int64),) * 2]
     ends = np.cumsum(counts)
@@ -292,8 +291,14 @@ def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool)
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ROWS, "right")))
         c = counts[begin:end]
         b = np.repeat(high[begin:end] - c, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        found.append(could(x, np.repeat(rows[begin:end], c), smaller[b], similarity))
+        a, b = could(x, np.repeat(rows[begin:end], c), smaller[b], similarity)
+        order = np.lexsort((x["place"][b], a))
+        a, b = a[order], b[order]
+        most = np.arange(len(a)) - np.searchsorted(a, a) >= FEW
+        hot = np.append(hot, a[most])
+        found.append((a[~most], b[~most]))
         begin = end
+    hot = np.flatnonzero(np.isin(x["key"], x["key"][hot]))
     if len(hot):  # the first set of each key by place
         by = hot[np.lexsort((x["place"][hot], x["key"][hot]))]
         new = np.append(True, x["key"][by][1:] != x["key"][by][:-1])
@@ -368,6 +373,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: f
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
             doc, no, sets, words = [], [], [], []
@@ -378,11 +384,12 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: f
                         doc.append(d)
                         no.append(x["line"])
                         sets.append(x["s"])
-                        words.append(list(set(parts[x["line"]].lower().split())))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["s", "doc_id", "line", "words"])
+                        own_words = set(parts[x["line"]].lower().split())
+                        words.append(np.fromiter(map(xxhash.xxh64_intdigest, own_words), np.uint64, len(own_words)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(words, pa.list_(pa.int64()))], ["s", "doc_id", "line", "words"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = stage(texts.join(wanted, "doc_id").select("doc_id", "text", "own").mapInArrow(run, "s long, doc_id long, line int, words array<string>"), "words")
+    words = stage(texts.join(wanted, "doc_id").select("doc_id", "text", "own").mapInArrow(run, "s long, doc_id long, line int, words array<long>"), "words")
     side = lambda k: words.select(F.col("s").alias(k), F.struct("doc_id", "line").alias(f"at_{k}"), F.col("words").alias(f"words_{k}"))
     shared = F.size(F.array_intersect("words_a", "words_b"))
     near = (shared >= similarity * (F.size("words_a") + F.size("words_b") - shared) - 1e-9) & (F.col("at_a") != F.col("at_b"))
