@@ -119,62 +119,93 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 class WordIds:
     """Token ids of whole texts by the tokenizers library, with the ids of each distinct word kept.
 
-    The vocabulary splits a normalised text at white space, and never merges across it, so a text's ids are the ids of its words
-    in order. The library's default holds for its added tokens: a literal one, <|endoftext|> say, becomes its own id, wherever it
-    stands in a word. A word with characters outside a range where Python and the library surely agree on white space sends its whole
-    text to the library. The kept words are bounded in number.
+    For a vocabulary that lower-cases, splits a text by SPLIT and ends each part's last token with END (read from its file; with any
+    other one each text goes to the library whole), a text's ids are the ids of its parts in order. Words are split into their parts
+    here, and parts not seen before are encoded in one call, where END tells them apart. The library's default holds for its added
+    tokens: a literal one, <|endoftext|> say, becomes its own id, wherever it stands in a word. A word that has one, is longer than
+    LONG bytes or has characters outside a range where Python and the library surely agree sends its whole text to the library. The
+    kept words and parts are bounded in number.
     """
 
-    #: Letters, digits, punctuation and blanks whose classes and lower case are plain; no combining marks, no super- or subscripts.
-    PLAIN = "[^\\x21-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u017e\\u2010-\\u2027]"
-    KEEP = 600_000
-    #: Bytes; a longer word sends its whole text to the library and is not kept.
-    LONG = 256
+    # How the vocabulary's file says that it normalises and splits, and the mark of a last token.
+    NORMAL = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END = "</w>"
+    #: SPLIT for lower-cased words without odd characters, and those: all but letters, digits and punctuation whose classes and
+    #: lower case are plain; no combining marks, no super- or subscripts.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[\W_]+")
+    ODD = re.compile("[^\\x21-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u017e\\u2010-\\u2027]")
+    #: Words and parts kept, bytes of a word, texts learnt at a time.
+    KEEP, LONG, LOT = 600_000, 256, 64
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.odd, self.kept = re.compile(self.PLAIN), {}
+        import numpy as np
+        from tokenizers import Tokenizer
 
-    def learn(self, words: set[bytes]) -> None:
-        """Keep the ids of words, all encoded in one call; None for a word with odd characters."""
+        self.tokenizer, self.kept, self.parts = Tokenizer.from_file(path), {}, {}
+        told = json.loads(self.tokenizer.to_str())
+        normal, pre, model = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}, told["model"]
+        split, *rest = pre.get("pretokenizers") or [{}]
+        self.known = (
+            [x["type"] for x in normal.get("normalizers", [])] == self.NORMAL
+            and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": self.SPLIT}, "Removed", True)
+            and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+            and (model["type"], model.get("end_of_word_suffix"), told.get("post_processor")) == ("BPE", self.END, None)
+        )
+        self.added = [x["content"] for x in told["added_tokens"]]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(self.END)]] = True
+
+    def encoded(self, text: str) -> bytes:
         import numpy as np
 
-        if len(self.kept) > self.KEEP:
-            self.kept.clear()
-        plain, chars = [], []
-        for word in (x for x in words if x not in self.kept):
-            text = word.decode()
-            if self.odd.search(text):
-                self.kept[word] = None
-            else:
-                plain.append(word)
-                chars.append(text)
-        if plain:
-            found = self.tokenizer.encode(" ".join(chars), add_special_tokens=False)
-            ids, begins = np.array(found.ids, "<u4"), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            places = np.cumsum([0, *(len(x) + 1 for x in chars)])
-            cuts = np.searchsorted(begins, places).tolist()
-            for word, i, j in zip(plain, cuts, cuts[1:]):
-                self.kept[word] = ids[i:j].tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each UTF-8 text (None: empty) as little-endian unsigned 32-bit integers."""
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of words; None for a word that only the library may split."""
         import numpy as np
 
-        for text in texts:
-            words = (text or b"").split()
-            try:
-                if words and (b"\x0b" in text or b"\x0c" in text or max(map(len, words)) > self.LONG):
-                    raise TypeError
+        for kept in (self.kept, self.parts):
+            if len(kept) > self.KEEP:
+                kept.clear()
+        kept, parts = self.kept, self.parts
+        whole = b" ".join(words).decode()
+        if self.ODD.search(whole.replace(" ", "")) or any(x in whole for x in self.added):
+            plain = []
+            for word, text in zip(words, whole.split(" "), strict=True):
+                if self.ODD.search(text) or any(x in text for x in self.added):
+                    kept[word] = None
+                else:
+                    plain.append(word)
+            words, whole = plain, b" ".join(plain).decode()
+        lower = whole.lower().split(" ") if words else []
+        own = [x if x in parts or x.isalpha() else self.PARTS.findall(x) for x in lower]
+        new = {x for x in own if x.__class__ is str}.union(*(x for x in own if x.__class__ is list))
+        new = [x for x in new if x not in parts]
+        if new:
+            ids = self.encoded(" ".join(new))
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            parts.update(zip(new, [ids[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
+        kept.update(zip(words, [parts[x] if x.__class__ is str else b"".join([parts[y] for y in x]) for x in own], strict=True))
+
+    def texts(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each UTF-8 text (None: empty) as little-endian unsigned 32-bit integers; what is new is learnt for LOT texts at a time."""
+        get = self.kept.__getitem__
+        for begin in range(0, len(texts), self.LOT):
+            lot = [((text or b""), (text or b"").split()) for text in texts[begin : begin + self.LOT]]
+            if self.known:
+                new = [x for x in set().union(*(words for _, words in lot)) if x not in self.kept and len(x) <= self.LONG]
+                if new:
+                    self.learn(new)
+            for text, words in lot:
                 try:
-                    yield b"".join([self.kept[x] for x in words])
-                except KeyError:
-                    self.learn(set(words))
-                    yield b"".join([self.kept[x] for x in words])
-            except TypeError:
-                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                    if words and (not self.known or b"\x0b" in text or b"\x0c" in text):
+                        raise KeyError
+                    yield b"".join(map(get, words))
+                except (KeyError, TypeError):
+                    yield self.encoded(text.decode())
 
 
 _TOKENIZERS: dict[str, WordIds] = {}

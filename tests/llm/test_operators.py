@@ -263,6 +263,19 @@ def test_word_ids_of_added_tokens():
     assert found[0] == [320, 49407, 321]
 
 
+def test_word_ids_of_all_plain_characters():
+    """Every character, alone and between letters, digits and marks, as the library encodes it."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x2000, 0x2070), 0x301, 0x3042, 0x1F600] if not 0xD800 <= c < 0xE000]
+    texts = [t for c in chars for t in (c, f"a{c}b", f"I'LL{c}7x{c}{c}'S", f"_{c}'{c}d")]
+    texts += [" ".join(texts), "x" * 300 + " it's", "it's " + "y" * 257, "''s '''ll don''t 12'3 a_b__c"]
+    for t, found in zip(texts, word_ids(vocabulary()).texts([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    assert word_ids(vocabulary()).known
+
+
 def test_packing(spark, sf, docs, none):
     for df in (docs, documents(spark, sf)):
         rows = packing.packed(df, vocabulary(), 256).collect()
