@@ -19,32 +19,37 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, stage
+from quillon.llm.common import components, free, release, stage
 
 BITS = 64
 
 
-def text_fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text: bit set if set in over half the shingle hashes; no words: zero."""
+def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the runs of ``width`` words of a text, lower-cased, repeats included; fewer words are one run, no words none."""
     import xxhash
 
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    one = xxhash.xxh64_intdigest
-    whole = b" ".join(words)
-    if len(words) < width:
-        hashes = [one(whole, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        hashes = [one(whole[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    one, whole = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= width:
+        return np.array([one(whole, seed)] if words else [], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return np.array([one(whole[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if set in over half of them; no hashes: zero."""
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[k : k + (1 << 14)], ">u8").view(np.uint8)
+        part = hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8)
         counts += np.unpackbits(part).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0]) if len(hashes) else 0
+
+
+def text_fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -100,8 +105,8 @@ def keys_of(width: int, t: int) -> int:
     return 0 if t < 0 else ball((t + 1) // 2) + (ball(t // 2) if t % 2 else 0)
 
 
-def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int) -> list[int]:
-    """Thresholds by dynamic programming over partitions; the estimate of a partition's candidates takes its bits' frequencies."""
+def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int) -> tuple[list[int], float]:
+    """Thresholds, and their estimated work, by dynamic programming over partitions; the estimate of a partition's candidates takes its bits' frequencies."""
     p = np.diag(counts) / max(n, 1)
     cost = []
     for part in parts:
@@ -119,19 +124,26 @@ def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int)
                 if (new := c + own[give]) < step.get(used + give, (np.inf,))[0]:
                     step[used + give] = (new, [*ts, give - 1])
         best = step
-    return best[distance + 1][1]
+    return best[distance + 1][1], best[distance + 1][0]
 
 
-def keyed(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, fp): the rows that probe and that are probed."""
+def best_parts(n: int, counts: np.ndarray, distance: int, most: int = 6) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of least estimated work, over the numbers of partitions."""
+    options = [(groups, *allocate(n, counts, groups, distance)) for groups in (arrange(n, counts, k) for k in range(2, most + 1))]
+    groups, given, _ = min(options, key=lambda x: x[2])
+    return groups, given
+
+
+def keyed(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """(key, node, fp): the rows that probe and that are probed."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            whole = np.asarray(batch.column(0)).astype(np.int64)
+            nodes, whole = (np.asarray(c).astype(np.int64) for c in batch.columns)
             for at in range(0, len(whole), 4096):
-                fp = whole[at : at + 4096]
+                node, fp = nodes[at : at + 4096], whole[at : at + 4096]
                 for k, (part, t) in enumerate(zip(parts, thresholds, strict=True)):
                     if t < 0:
                         continue
@@ -143,30 +155,45 @@ def keyed(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> Data
                     keys = (value[:, None] ^ masks[None, :]).ravel().view(np.int64)
                     # a partition number in the key: narrow partitions leave room, whole-width ones hash
                     keys = keys + (k << 56) if len(part) <= 48 else keys * np.int64(2 * k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp, len(masks)))], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(node, len(masks))), pa.array(np.repeat(fp, len(masks)))], ["key", "node", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long")
 
 
-def linked(fps: DataFrame, distance: int = 4, parts: int = 2) -> DataFrame:
-    """(node, label) of the distinct fingerprints that link to another one."""
-    n, counts = bit_counts(fps)
-    groups = arrange(n, counts, parts)
+def linked(nodes: DataFrame, distance: int = 4, parts: int | None = None, known: DataFrame | None = None, verify=None) -> DataFrame:
+    """(x, y): links that connect the nodes (node, fp) whose fingerprints differ in at most ``distance`` bits; not every link, but all components.
+
+    verify, if given, maps candidate pairs (x, y) to those that count as links. known are links found before. parts: the number of
+    partitions, by default the one with the least estimated work."""
+    n, counts = bit_counts(nodes)
+    groups, given = best_parts(n, counts, distance) if parts is None else ((g := arrange(n, counts, parts)), allocate(n, counts, g, distance)[0])
     w = Window.partitionBy("key")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= distance
-    met = keyed(fps, groups, allocate(n, counts, groups, distance)).withColumns({"lead": F.min("fp").over(w), "last": F.max("fp").over(w)}).where("lead < last")
-    met = stage(met.select("key", "fp", "lead"), "met")
-    first = components(met.where(near & (F.col("fp") != F.col("lead"))).select("fp", "lead"), "fp", "lead")
-    own = met.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")).distinct()
+    met = keyed(nodes, groups, given).groupBy("key", "node", "fp").agg(F.count("*").alias("_n")).drop("_n") if verify else keyed(nodes, groups, given)
+    own = F.struct("node", "fp")
+    met = met.withColumns({"lead": F.min(own).over(w), "last": F.max("node").over(w)}).where("lead.node < last")
+    met = stage(met.select("key", "node", "fp", "lead"), "met")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance
+    links = met.where(near & (F.col("node") != F.col("lead.node"))).select(F.col("node").alias("x"), F.col("lead.node").alias("y")).distinct()
+    links = stage(verify(links) if verify else links, "links")
+    if known is not None:
+        links = links.union(known)
+    first = components(links, "x", "y")
+    own = met.join(first, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")).distinct()
     own = own.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).where("low < high")
-    own = stage(own.select("key", "fp", "label"), "mixed")
+    own = stage(own.select("key", "node", "fp", "label"), "mixed")
+    release(met)
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance))
-    pairs = pairs.select(F.col("a.label").alias("x"), F.col("b.label").alias("y")).distinct()
-    return components(first.select(F.col("node").alias("x"), F.col("label").alias("y")).union(pairs), "x", "y")
+    if verify:
+        more = verify(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    else:
+        more = pairs.select(F.col("a.label").alias("x"), F.col("b.label").alias("y")).distinct()
+    more = stage(more, "links")
+    release(own)
+    return first.select(F.col("node").alias("x"), F.col("label").alias("y")).where("x <> y").union(more)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, parts: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, parts: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id, n_linked) of every row.
 
     component_id is the smallest doc_id reachable over links; n_linked says how many rows the component has. Null texts and
@@ -175,14 +202,80 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: i
     """
     rows = stage(fingerprints(docs, width, seed), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    labels = linked(nodes, distance, parts).withColumnRenamed("node", "fp")
+    labels = components(linked(nodes.select(F.col("fp").alias("node"), "fp"), distance, parts), "x", "y").withColumnRenamed("node", "fp")
     named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     total = named.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_linked"))
     named = stage(named.join(total, "label").select("fp", "component_id", "n_linked"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_linked")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the near copies: the row with the smallest doc_id of each component stays; rows with a null doc_id stay."""
-    found = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+SEEDS = 4
+
+
+def many_fingerprints(docs: DataFrame, width: int, seeds: int) -> DataFrame:
+    """(doc_id, node, fps) of every row: a hash of the lower-cased words, and ``seeds`` fingerprints, each of hashes of its own."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        from quillon.llm.line_dedup import mixed
+
+        for batch in batches:
+            nodes, found = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text, width)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split())))
+                found += [majority(mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else hashes) for k in range(seeds)]
+            fps = pa.FixedSizeListArray.from_arrays(pa.array(np.array(found, np.uint64).view(np.int64)), seeds).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), fps], ["doc_id", "node", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fps array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (x, y) of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    owners: (node, doc_id), a row of docs that has the node's text; only texts of these rows are read."""
+    pairs = stage(pairs, "pairs")
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(owners, "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    own = stage(own.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, hashes array<long>"), "compared")
+    both = pairs.join(own.select(F.col("node").alias("x"), F.col("hashes").alias("hx")), "x").join(own.select(F.col("node").alias("y"), F.col("hashes").alias("hy")), "y")
+    shared = F.size(F.array_intersect("hx", "hy"))
+    found = stage(both.where(shared >= similarity * (F.size("hx") + F.size("hy") - shared) - 1e-6).select("x", "y"), "similar")
+    release(own, pairs)
+    return found
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 6, seeds: int = SEEDS) -> DataFrame:
+    """docs without the near copies: the row with the smallest doc_id of each component stays; the same columns.
+
+    Candidates are texts of which one of ``seeds`` fingerprints differs in at most ``distance`` bits; they link if their sets of shingles of
+    ``width`` words have a Jaccard similarity of ``similarity`` or more, so no other text goes. Texts with the same words are copies, those
+    without a word too. A row with a null doc_id stays and takes no other with it, unless the words are the same; rows that repeat a
+    doc_id stay or go together. An empty table gives an empty result."""
+    rows = stage(many_fingerprints(docs, width, seeds), "fingerprints")
+    # a text's owner is the only row that is read for it, so a doc_id that repeats with other texts owns none
+    single = rows.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("doc_id is not null and node = last")
+    owners = stage(single.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
+    links = None
+    for k in range(seeds):
+        nodes = stage(rows.join(owners.select("node"), "node", "left_semi").groupBy("node").agg(F.first(F.col("fps")[k]).alias("fp")), "nodes")
+        links = linked(nodes, distance, known=links, verify=lambda pairs: verified(pairs, docs, owners, width, similarity))
+        release(nodes)
+    named = rows.select("doc_id", "node").join(components(links, "x", "y"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    gone = stage(named.join(least, "label").where("doc_id <> least").select("doc_id").distinct(), "gone")
+    key = free(docs, "_gone")
+    return docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"].cast("long") == F.col(key), "left_anti").select(*docs.columns)
