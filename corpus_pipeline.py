@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, mixing, packing, quality_rules
-from quillon.llm import near_copies as copies
+from quillon.llm import line_dedup, mixing, packing, quality_rules, simhash
 from quillon.llm.common import stage, vocabulary
 from quillon.session import ship, table
 
@@ -25,9 +24,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies stays: candidates by SimHash, verified on five-word shingles at a similarity of 0.8 or more."""
     ship(spark)
-    return copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, vocabulary())
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("mixing", mixture), ("packing", sequences)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash", near_copies), ("mixing", mixture), ("packing", sequences)]
 #: Tokenizing is not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
