@@ -44,6 +44,10 @@ class Grams:
         seen: dict[str, int] = {}
         for word in WORD(text.lower()):
             seen[word] = seen.get(word, 0) + 1
+        for word in [x for x in seen if not x.isalpha()]:  # numeric marks are no letters
+            n = seen.pop(word)
+            for part in "".join(c if c.isalpha() else " " for c in word).split():
+                seen[part] = seen.get(part, 0) + n
         if not seen:
             return np.array([], np.uint64), np.array([], np.int64)
         parts = [self.of(x) for x in seen]
@@ -67,10 +71,10 @@ def profiles(docs: DataFrame, size: int = 400, sample: int = 4000) -> dict[str,
     """Profile by language, from text and non-null lang of docs.
 
     Of each language about ``sample`` documents are taken, those whose hash of doc_id is low: a bounded sample of labelled rows.
-    Counting runs on the executors; to the driver come ``size`` numbers a language."""
+    Counting runs on the executors; to the driver come ``size`` numbers a language, for every language that occurs."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
     totals = rows.groupBy("lang").count()
-    rows = rows.join(F.broadcast(totals.orderBy(F.desc("count")).limit(1000)), "lang")
+    rows = rows.join(totals, "lang")
     rows = rows.where(F.expr(f"pmod(xxhash64(11, doc_id), 1000000007) * cast(count as double) < {sample} * 1000000007.0D"))
 
     def run(batches):
@@ -139,5 +143,8 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], size: int = 400) -> D
 
 
 def identify(docs: DataFrame, training: DataFrame, size: int = 400, sample: int = 4000) -> DataFrame:
-    """Profiles of training (text, lang, doc_id), then a prediction for every row of docs from its text alone."""
+    """Profiles of training (text, lang, doc_id), then a prediction for every row of docs from its text alone.
+
+    Repeated rows get a row each, null ids stay null, other columns are not read; very long texts are counted whole. An empty table
+    gives an empty result."""
     return predict(docs, profiles(training, size, sample), size)

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     """Every row of docs with _size, source_size, target, copies.
 
     Null texts have size 0; a null source is a source of its own, last in order; rows that repeat a doc_id and size are taken
-    together; a source without words has target 0 and copies 0. An empty table gives an empty result. Reruns agree.
+    together; a source without words has target 0 and copies 0. An empty table gives an empty result. Reruns agree. Columns of docs
+    with the names of the new ones are replaced; mixed() leaves all as they are.
     """
     rows = sized(docs.drop("_size", "_u", "source_size", "target", "copies"), seed)
     found = stage(rates(stage(rows.select("source", "_size", "_u"), "sizes"), weights, cap), "rates").withColumnRenamed("source", "_source")
@@ -96,6 +97,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    names = docs.columns
-    return mix(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source")
+    return mix(rows, **how).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

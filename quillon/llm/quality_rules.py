@@ -93,3 +93,10 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     mine = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "kept"]
     measured = stage(measure(docs.drop(*mine)), "measured")
     return judge(measured, stage(cutoffs(measured, labels, stratum, alpha, delta), "cutoffs"), stratum)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **how) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", stratum)
+    measured = stage(measure(rows).drop("text"), "measured")
+    return judge(measured, stage(cutoffs(measured, labels, stratum, **how), "cutoffs"), stratum).where("kept").select("_row.*")

@@ -94,6 +94,9 @@ def test_language(spark, sf, docs, none):
     rows = {r.doc_id: r for r in langid.identify(docs, training).collect()}
     assert len(rows) == docs.select("doc_id").distinct().count() and all(0 <= r.score <= 1 for r in rows.values())
     assert [rows[k].lang_pred for k in (4, 5, 6)] == ["und"] * 3
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "½the²and of"), (3, "the and of")], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, training).collect()}
+    assert found[1] == ("und", 0.0) and found[2] == found[3] != found[1]
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(none, training).count() == 0
 
 
@@ -171,6 +174,9 @@ def test_quality_rules(spark, sf, docs, none, labels):
     assert judged.count() == docs.count() and not judged.where("kept and base_failed").count() and judged.where("kept").count()
     assert quality_rules.quality(none, labels).count() == 0
     assert quality_rules.quality(docs.withColumn("kept", F.lit(1)), labels).where("kept").count()
+    clash = docs.withColumns({"kept": F.lit("mine"), "n_words": F.lit(-1), "_w": F.lit("w"), "stratum": F.lit(0)})
+    found = quality_rules.accepted(clash, labels)
+    assert found.columns == clash.columns and found.count() == judged.where("kept").count() == found.where("kept = 'mine' and n_words = -1 and _w = 'w'").count()
 
 
 def test_thresholds_keep_clean_and_reject_junk(spark):
@@ -210,6 +216,8 @@ def test_mixing(spark, sf, docs, none):
             assert abs(taken[s] - g) <= max(r._size for r in rows if r.source == s)
     assert Counter(map(tuple, mixing.mixed(docs).collect())) == Counter(map(tuple, mixing.mixed(docs).collect())) and mixing.mixed(docs).columns == docs.columns
     assert mixing.mix(none).count() == 0
+    clash = docs.withColumns({"target": F.lit("mine"), "copies": F.lit(-1), "_size": F.lit("s"), "_u": F.lit(0)})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).where("target = 'mine' and copies = -1 and _size = 's'").count() == mixing.mixed(docs).count()
 
 
 def test_suffix_array():
