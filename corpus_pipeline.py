@@ -13,7 +13,7 @@ from quillon.session import ship, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     ship(spark)
-    return quality_rules.quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_rules.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
