@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.session import spread
 
 K1, B = 1.2, 0.75
 
 
 def term_table(docs: DataFrame, key: str, text: str, terms: list[str], prefix_from: int = 5) -> DataFrame:
-    """(key, len, tf_0, tf_1, ...): document length in words and each term's frequency; one pass, no shuffle.
+    """(key, len, tf_0, tf_1, ...): document length in words and each term's frequency; one pass.
 
     A term of at least ``prefix_from`` letters also counts words that it begins."""
     test = lambda t: (lambda x: x.startswith(t)) if len(t) >= prefix_from else (lambda x: x == t)
     count = lambda w: F.array(F.size(w), *[F.size(F.filter(w, test(t))) for t in terms])
-    found = docs.select(key, tx.once(tx.tokens(tx.normalize(F.col(text))), count).alias("n"))
-    return found.select(key, F.col("n")[0].alias("len"), *[F.col("n")[k + 1].alias(f"tf_{k}") for k in range(len(terms))])
+    found = spread(docs.select(key, text)).select(key, tx.once(tx.tokens(tx.normalize(F.col(text))), count).alias("n"))
+    # narrow, and read twice: for the statistics and for the scores
+    return found.select(key, F.col("n")[0].alias("len"), *[F.col("n")[k + 1].alias(f"tf_{k}") for k in range(len(terms))]).persist()
 
 
 def bm25(table: DataFrame, key: str, n_terms: int, weights: list[float] | None = None) -> DataFrame:

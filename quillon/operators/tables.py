@@ -14,6 +14,16 @@ def diff(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
+def replace_children(old: DataFrame, new: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """old without the rows of the parents in touched, and all rows of new: changed parents are replaced whole, deleted ones go."""
+    return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def positions(rows: DataFrame, *order) -> DataFrame:
+    """rows with their position in order; for tables of a few rows, such as sums by group: all rows meet in one task."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new put in or replaced by key."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
@@ -40,7 +50,7 @@ def changes(present: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def merged(intervals: DataFrame, key: str) -> DataFrame:
     """(key, start, end, n): overlapping and touching intervals of a key put together."""
-    w = Window.partitionBy(key).orderBy("start")
+    w = Window.partitionBy(key).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = intervals.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
     marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

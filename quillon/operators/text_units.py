@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.session import ship
+from quillon.session import ship, spread
 
 HEADING = r"^[\p{Lu}\p{N}].*"
 
@@ -60,7 +60,7 @@ def packed_chunks(lines: DataFrame, target: int = 400, key: str = "doc_id") -> D
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): the inverted index. A word of a document is one row before the shuffle's second half."""
-    words = docs.select(key, F.explode(tx.tokens(tx.normalize(F.col(text)))).alias("term"))
+    words = spread(docs.select(key, text)).select(key, F.explode(tx.tokens(tx.normalize(F.col(text)))).alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -148,7 +148,7 @@ def complete_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("state", F.when(F.col("there") == 0, "absent").when(F.col("there") == F.col("n"), "complete").otherwise("partial"))
 
 
-@query("""SELECT l_suppkey, min(s) AS "start", max(e) AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_suppkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+@query("""SELECT l_suppkey, min(s) AS "start", max(e) AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
     FROM (SELECT l_suppkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INT) // 10 AS e FROM lineitem))) GROUP BY l_suppkey, island""")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping stretches put together."""
