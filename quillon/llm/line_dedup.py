@@ -5,7 +5,7 @@ before it in (doc_id, line number) order; the input decides, not what is left. W
 whole table in a fixed number of slots: any order that depends on the word alone gives exact results. Two similar lines then
 share a word in their prefixes, n - ceil(t n) + 1 words, which is their key. Where the first shared word is frequent, the key
 takes the next shared one too, from a prefix one longer, and a third one where the two are likely to meet often. A word that
-occurs once is no key. Length, position and a 64-bit parity bitmap of the words (its difference is at most the difference of the
+occurs once is no key. Length, position and a 128-bit parity bitmap of the words (its difference is at most the difference of the
 sets) filter candidates; the rest are verified on the 64-bit hashes of all their words, read from the texts again.
 
 Equal sets settle by their first place, so only distinct sets are compared. Their key rows travel in arrays, one for each of a
@@ -34,10 +34,11 @@ WINDOW, LINES, ROWS = 1 << 20, 1 << 16, 1 << 20
 NEAR, FEW = 256, 8
 #: Key ranges for each shuffle partition, and rows of one range that are compared at a time.
 FINE, LOT = 8, 1 << 22
-#: A key row, column after column in an array: key, place, size, words left out before the key's last one, set, bitmap; and a set's row: set, doc_id, line.
-KEY = [("key", "<u4"), ("place", "<u4"), ("n", "<u4"), ("i", "<u4"), ("s", "<i8"), ("bits", "<u8")]
+#: A key row, column after column in an array: key, place, size, words left out before the key's last one, set, bitmap in two parts; and a set's row: set, doc_id, line.
+KEY = [("key", "<u4"), ("place", "<u4"), ("n", "<u4"), ("i", "<u4"), ("s", "<i8"), ("bits", "<u8"), ("more", "<u8")]
 SET = [("s", "<i8"), ("doc_id", "<i8"), ("line", "<i4")]
 KEYS, SETS, GONE = range(3)
+WIDTH = sum(np.dtype(t).itemsize for _, t in KEY)
 NULL = -(1 << 63)
 #: Seeded numbers for the bytes, and which bytes are no white space.
 BYTES = np.random.default_rng(80).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -133,13 +134,12 @@ def sets_of(hashes: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tuple[n
     return line, found & np.uint64((1 << 48) - 1), np.cumsum(n[line]) - n[line], n[line]
 
 
-def identity(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set a 64-bit hash and a parity bitmap."""
-    if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def identity(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set a 64-bit hash and a parity bitmap of 128 bits in two parts."""
     hashes = mixed(words)
     s = mixed(np.add.reduceat(hashes, begin) + n.astype(np.uint64))
-    return s.view(np.int64), np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), begin)
+    bit, second = np.uint64(1) << (hashes >> np.uint64(58)), (hashes & np.uint64(1)).astype(bool)
+    return s.view(np.int64), *(np.bitwise_xor.reduceat(np.where(second == k, bit, np.uint64(0)), begin) for k in (False, True))
 
 
 def keys(words: np.ndarray, begin: np.ndarray, n: np.ndarray, similarity: float, total: float, frequent: float = FREQUENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,7 +224,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, total: int, similarity: floa
                         yield doc[own + at], no[own + at], *rest
 
         for own_doc, own_no, words, begin, n in pieces():
-            s, bits = identity(words, begin, n)
+            s, bits, more = identity(words, begin, n)
             order = np.lexsort((own_no, own_doc, s))
             new = np.append(True, s[order][1:] != s[order][:-1])[: len(order)]
             lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -239,7 +239,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, total: int, similarity: floa
 
             def flush():
                 key, owner, i = (np.concatenate(x) for x in zip(*held, strict=True))
-                rows = [key.astype(np.uint32), place[owner], n[owner], i, s[owner], bits[owner]]
+                rows = [key.astype(np.uint32), place[owner], n[owner], i, s[owner], bits[owner], more[owner]]
                 held.clear()
                 return table(KEYS, list(packed(rows, KEY, ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16))))
 
@@ -259,7 +259,8 @@ def could(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: fl
     """Which of the pairs may have similar words, by bitmap, size and position; pairs of the same set are none."""
     n, i, s = x["n"], x["i"], x["s"]
     both, share = n[a] + n[b], similarity / (1 + similarity)
-    keep = np.bitwise_count(x["bits"][a] ^ x["bits"][b]) <= both * (1 - 2 * share) + 1e-9
+    differ = np.bitwise_count(x["bits"][a] ^ x["bits"][b]).astype(np.int64) + np.bitwise_count(x["more"][a] ^ x["more"][b])
+    keep = differ <= both * (1 - 2 * share) + 1e-9
     a, b, both = a[keep], b[keep], both[keep]
     need = np.ceil(share * both - 1e-9)
     keep = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (n[b] >= similarity * n[a] - 1e-9) & (n[a] >= similarity * n[b] - 1e-9) & (s[a] != s[b])
@@ -313,20 +314,20 @@ def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool)
 
 
 def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) -> DataFrame:
-    """Arrays of signatures(), together by kind and bucket, to rows (kind, key, a, b, n, i, bits, line): for KEYS candidate pairs
+    """Arrays of signatures(), together by kind and bucket, to rows (kind, key, a, b, n, i, bits, more, line): for KEYS candidate pairs
     of sets (a, b), or with a key the rows a, at place b, of a key with more than ``near`` sets; for SETS the first place (b, line) of set a;
     for GONE the places (b, line) of lines whose set comes before."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
         def table(kind, size, **columns):
             made = [pa.array(np.full(size, kind, np.int32)) if name == "kind" else pa.array(columns[name], t) if name in columns else pa.nulls(size, t) for name, t in zip(names, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(made, names)
 
-        names = ["kind", "key", "a", "b", "n", "i", "bits", "line"]
+        names = ["kind", "key", "a", "b", "n", "i", "bits", "more", "line"]
 
         def close(kind: int, bucket: int, parts: list[bytes], cut: bool):
             if kind == KEYS:
@@ -334,7 +335,7 @@ def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) ->
                 a, b, hot = compared(x, similarity, near, cut)
                 yield table(KEYS, len(a), a=a, b=b)
                 if len(hot):
-                    yield table(KEYS, len(hot), key=(np.int64(bucket) << 32) | x["key"][hot].astype(np.int64), a=x["s"][hot], b=x["place"][hot].astype(np.int64), n=x["n"][hot], i=x["i"][hot], bits=x["bits"][hot].view(np.int64))
+                    yield table(KEYS, len(hot), key=(np.int64(bucket) << 32) | x["key"][hot].astype(np.int64), a=x["s"][hot], b=x["place"][hot].astype(np.int64), n=x["n"][hot], i=x["i"][hot], bits=x["bits"][hot].view(np.int64), more=x["more"][hot].view(np.int64))
             else:
                 x = unpacked(parts, SET)
                 gone = np.arange(len(x["s"]))
@@ -352,7 +353,7 @@ def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) ->
         for batch in batches:
             for kind, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # a range of more rows than fit is compared in lots, and all its keys go on to the full join
-                full = kind == KEYS and size + len(data) > lot * 32
+                full = kind == KEYS and size + len(data) > lot * WIDTH
                 if parts and (full or (kind, bucket) != now):
                     cut = cut or full
                     yield from close(*now, parts, cut)
@@ -363,7 +364,7 @@ def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) ->
         if parts:
             yield from close(*now, parts, cut)
 
-    return rows.mapInArrow(run, "kind int, key long, a long, b long, n int, i int, bits long, line int")
+    return rows.mapInArrow(run, "kind int, key long, a long, b long, n int, i int, bits long, more long, line int")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
@@ -417,11 +418,11 @@ def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR, lot: int
     similar = verified(docs, pairs, firsts, similarity)
     gone = gone.union(similar.select("doc_id", "line"))
 
-    members = found.where("key is not null").select("key", F.col("a").alias("s"), F.col("b").alias("place"), "n", "i", "bits")
+    members = found.where("key is not null").select("key", F.col("a").alias("s"), F.col("b").alias("place"), "n", "i", "bits", "more")
     if not members.isEmpty():
         a, b = members.join(similar, "s", "left_anti").alias("a"), members.alias("b")
         could = F.expr(f"""a.key = b.key and b.place <= a.place and a.s <> b.s and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
-            and bit_count(a.bits ^ b.bits) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
+            and bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
             and least(a.n - a.i, b.n - b.i) >= ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)""")
         more = a.join(b, could).select(F.least("a.s", "b.s").alias("a"), F.greatest("a.s", "b.s").alias("b")).distinct()
         more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")

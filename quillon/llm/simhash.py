@@ -171,9 +171,13 @@ def linked(nodes: DataFrame, distance: int = 4, parts: int | None = None, known:
     met = keyed(nodes, groups, given).groupBy("key", "node", "fp").agg(F.count("*").alias("_n")).drop("_n") if verify else keyed(nodes, groups, given)
     own = F.struct("node", "fp")
     met = met.withColumns({"lead": F.min(own).over(w), "last": F.max("node").over(w)}).where("lead.node < last")
-    met = stage(met.select("key", "node", "fp", "lead"), "met")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance
-    links = met.where(near & (F.col("node") != F.col("lead.node"))).select(F.col("node").alias("x"), F.col("lead.node").alias("y")).distinct()
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance) & (F.col("node") != F.col("lead.node"))
+    met = stage(met.select("key", "node", "fp", F.when(near, F.col("lead.node")).alias("lead")), "met")
+    links = met.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct()
+    if known is not None:  # pairs of a component need no other link
+        labels = stage(components(known, "x", "y"), "labels")
+        links = links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
+        links = links.where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
     links = stage(verify(links) if verify else links, "links")
     if known is not None:
         links = links.union(known)
