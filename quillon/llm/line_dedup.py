@@ -31,7 +31,7 @@ FREQUENT = 1024
 #: Bytes of text, lines and key rows that a task handles at a time.
 WINDOW, LINES, ROWS = 1 << 20, 1 << 16, 1 << 20
 #: Smaller sets that a set is compared with under a key, and candidates among them that go on to be verified.
-NEAR, FEW = 256, 8
+NEAR, FEW = 2048, 8
 #: Key ranges for each shuffle partition, and rows of one range that are compared at a time.
 FINE, LOT = 8, 1 << 22
 #: A key row, column after column in an array: key, place, size, words left out before the key's last one, set, bitmap in two parts; and a set's row: set, doc_id, line.
