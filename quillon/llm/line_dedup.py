@@ -293,7 +293,9 @@ def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool)
         c = counts[begin:end]
         b = np.repeat(high[begin:end] - c, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         a, b = could(x, np.repeat(rows[begin:end], c), smaller[b], similarity)
-        order = np.lexsort((x["place"][b], a))
+        # those before it first, the most alike of them first
+        differ = np.bitwise_count(x["bits"][a] ^ x["bits"][b]) + np.bitwise_count(x["more"][a] ^ x["more"][b])
+        order = np.lexsort((differ, x["place"][b] > x["place"][a], a))
         a, b = a[order], b[order]
         most = np.arange(len(a)) - np.searchsorted(a, a) >= FEW
         hot = np.append(hot, a[most])
