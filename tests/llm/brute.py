@@ -58,6 +58,36 @@ def measures(text):
     return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
 
 
+def targets(sizes, weights=(5, 2, 1), cap=3):
+    """Target of each source by its size."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    left, out = sum(sizes.values()), {}
+    waiting = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    while waiting:
+        share = {s: left * w / sum(waiting.values()) for s, w in waiting.items()}
+        over = [s for s in waiting if share[s] > cap * sizes[s]]
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+            del waiting[s]
+    return out
+
+
+def without_near_copies(rows, width=5):
+    """{doc_id: text} of the smallest doc_id of each group whose shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    roots = groups(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    least = {}
+    for (d, _), r in zip(rows, roots, strict=True):
+        least[r] = min(d, least.get(r, d))
+    return {d: t for (d, t), r in zip(rows, roots, strict=True) if least[r] == d}
+
+
 def spans(rows, length=50):
     first = {}
     texts = [(d, (t or "").encode()) for d, t in rows]

@@ -436,3 +436,54 @@ def test_pipeline(spark, sf):
     packed = p.sequences(spark, mix, sf)
     assert packed.agg(F.sum("length")).first()[0] == sum(len(x) // 4 + 1 for x in word_ids(vocabulary()).texts([t and t.encode() for _, t in pairs(mix)]))
     assert [n for n, _ in p.STAGES] == ["quality rules", "line dedup", "simhash", "mixing", "packing"]
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() over whole texts, a long one included, against the plain version of its stages; labels too few for cutoffs."""
+    import corpus_pipeline as p
+
+    random.seed(21)
+    pool = [f"w{k}x" for k in range(3000)]
+    some = lambda n: [random.choice(pool) for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    base = some(300)
+    texts = [wrap(base, 12), *(wrap(some(random.randint(60, 200)), 12) for _ in range(59)), wrap(some(9000), 12), wrap(some(20), 12), None, "", "ab cd ef " * 60]
+    texts += [wrap(base, 12).upper(), wrap(base, 7), wrap([*base[:150], "other", *base[151:]], 5), texts[1] + "\n" + texts[2]]
+    sources = dict(enumerate(["a", "b", None, "c"][k % 4] for k in range(len(texts))))
+    rows = [(d, t, "en", sources[d], len(t or "")) for d, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    kept = []
+    for d, t in enumerate(texts):
+        m = brute.measures(t)
+        if m[0] >= 50 and 2 * m[4] <= m[0]:
+            kept.append((d, t))
+    gone = brute.removed_lines(kept)
+    kept = brute.without_near_copies([(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ()))) for d, t in kept])
+    assert {0, 1, 2, 60} <= set(kept) and not {61, 62, 63, 64, 66, 67} & set(kept)
+    size = {d: len(brute.WORDS(t)) for d, t in kept.items()}
+    total, taken = Counter(), Counter()
+    for d, n in size.items():
+        total[sources[d]] += n
+    goals = brute.targets(total)
+
+    found = p.run(spark, str(tmp_path)).collect()
+    copies = Counter(r.doc_id for r in found if r.piece == 0)
+    want = Counter()
+    for d, ids in zip(kept, word_ids(vocabulary()).texts([t.encode() for t in kept.values()]), strict=True):
+        ids += b"\0\0\0\0"
+        for k, a in enumerate(range(0, len(ids), 8192)):
+            part = ids[a : a + 8192]
+            want[d, k, a // 4, len(part) // 4, zlib.crc32(part)] += copies[d]
+        whole = int(goals[sources[d]] / total[sources[d]] + 1e-9)
+        assert copies[d] in (whole, whole + 1)
+        taken[sources[d]] += copies[d] * size[d]
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == +want
+    for s, goal in goals.items():
+        assert abs(taken[s] - goal) <= max(n for d, n in size.items() if sources[d] == s)
+    ends = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(ends.values()) // 2048) * 1.02 + 2
