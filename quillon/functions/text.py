@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -50,7 +51,7 @@ def phrase(text: Column) -> Column:
 
 def hits(text: Column, word: str, most: int | None = None) -> Column:
     """How often a normalised text has a word beginning with ``word``, at most ``most``."""
-    n = F.size(F.regexp_extract_all(text, F.lit("(?<![\\p{L}\\p{N}])" + word), F.lit(0)))
+    n = F.size(F.regexp_extract_all(text, F.lit("(?<![\\p{L}\\p{N}])" + re.escape(word)), F.lit(0)))
     return F.least(n, F.lit(most)) if most else n
 
 

@@ -62,3 +62,9 @@ def test_first_rule_takes_no_part_of_a_long_table(spark):
     with pytest.raises(ValueError, match="1000 rules"):
         first_rule(rows, spark.range(1001).selectExpr("id as ordinal", "'a' as host", "1 as answer"), ["host"])
     assert first_rule(rows, spark.range(3).selectExpr("id as ordinal", "'a' as host", "cast(id + 5 as int) as answer"), ["host"]).first().answer == 5
+
+
+def test_hits_takes_words_literally(spark):
+    df = spark.createDataFrame([("c++ and c, c+ (x) a.b aab",)], "t string")
+    found = df.select(*[tx.hits(F.col("t"), w).alias(f"h{k}") for k, w in enumerate(["c++", "c", "(x", "a.b", "an d"])]).first()
+    assert tuple(found) == (1, 3, 1, 1, 0)
