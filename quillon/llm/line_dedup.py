@@ -271,7 +271,12 @@ def compared(x: dict[str, np.ndarray], similarity: float, near: int, cut: bool)
     """Candidate pairs (a, b) of sets among key rows, and which rows (of x, put in order) are of a key that is not paired out: all
     if cut, else those of keys where a set has more than ``near`` smaller sets of fitting size, or more than FEW candidates."""
     at = lambda size: (x["key"].astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
-    order = np.argsort(at(x["n"]), kind="stable")
+    # of a key's rows of one set, sent from several lots of lines, only the first by place stays
+    own = x["s"].view(np.uint64) + mixed(x["i"].astype(np.uint64))
+    sizes = at(x["n"])
+    order = np.lexsort((x["place"], own, sizes))
+    sizes, own = sizes[order], own[order]
+    order = order[np.append(True, (sizes[1:] != sizes[:-1]) | (own[1:] != own[:-1]))[: len(order)]]
     for name in x:
         x[name] = x[name][order]
     x["n"], x["i"] = x["n"].astype(np.int64), x["i"].astype(np.int64)
@@ -422,7 +427,9 @@ def removed(docs: DataFrame, similarity: float = 0.8, near: int = NEAR, lot: int
 
     members = found.where("key is not null").select("key", F.col("a").alias("s"), F.col("b").alias("place"), "n", "i", "bits", "more")
     if not members.isEmpty():
-        a, b = members.join(similar, "s", "left_anti").alias("a"), members.alias("b")
+        # a set is held against those before its first place; keys compared in lots may have it more than once
+        a = members.join(similar, "s", "left_anti").groupBy("key", "s", "n", "i", "bits", "more").agg(F.min("place").alias("place")).alias("a")
+        b = members.alias("b")
         could = F.expr(f"""a.key = b.key and b.place <= a.place and a.s <> b.s and b.n >= {similarity} * a.n - 1e-9 and a.n >= {similarity} * b.n - 1e-9
             and bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more) <= a.n + b.n - 2 * ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)
             and least(a.n - a.i, b.n - b.i) >= ceil({similarity} / (1 + {similarity}) * (a.n + b.n) - 1e-9)""")
