@@ -37,6 +37,7 @@ FINE, LOT = 8, 1 << 22
 #: A key row, column after column in an array: key, place, size, words left out before the key's last one, set, bitmap in two parts; and a set's row: set, doc_id, line.
 KEY = [("key", "<u4"), ("place", "<u4"), ("n", "<u4"), ("i", "<u4"), ("s", "<i8"), ("bits", "<u8"), ("more", "<u8")]
 SET = [("s", "<i8"), ("doc_id", "<i8"), ("line", "<i4")]
+PLANES = {"place", "n", "i"}
 KEYS, SETS, GONE = range(3)
 WIDTH = sum(np.dtype(t).itemsize for _, t in KEY)
 NULL = -(1 << 63)
@@ -176,13 +177,13 @@ def keys(words: np.ndarray, begin: np.ndarray, n: np.ndarray, similarity: float,
 
 
 def packed(columns: list[np.ndarray], layout: list[tuple[str, str]], bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, its rows column after column)."""
+    """(bucket, its rows column after column, small numbers by byte plane: their high bytes, mostly zero or alike, compress well)."""
     order = np.argsort(bucket, kind="stable")
     columns = [np.asarray(c, t)[order] for c, (_, t) in zip(columns, layout, strict=True)]
     bucket = bucket[order]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        yield int(bucket[a]), b"".join([c[a:b].tobytes() for c in columns])
+        yield int(bucket[a]), b"".join([(c[a:b].view(np.uint8).reshape(b - a, -1).T if name in PLANES else c[a:b]).tobytes() for c, (name, _) in zip(columns, layout, strict=True)])
 
 
 def unpacked(parts: list[bytes], layout: list[tuple[str, str]]) -> dict[str, np.ndarray]:
@@ -191,7 +192,11 @@ def unpacked(parts: list[bytes], layout: list[tuple[str, str]]) -> dict[str, np.
     out, skip = {}, 0
     for name, t in layout:
         size = np.dtype(t).itemsize
-        out[name] = np.concatenate([np.frombuffer(x, t, len(x) // width, len(x) // width * skip) for x in parts])
+        if name in PLANES:
+            planes = [np.frombuffer(x, np.uint8, len(x) // width * size, len(x) // width * skip).reshape(size, -1).T for x in parts]
+            out[name] = np.ascontiguousarray(np.concatenate(planes)).view(t).ravel()
+        else:
+            out[name] = np.concatenate([np.frombuffer(x, t, len(x) // width, len(x) // width * skip) for x in parts])
         skip += size
     return out
 
