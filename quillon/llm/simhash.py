@@ -3,8 +3,8 @@
 Fingerprints of 64 bits link at ``distance`` or fewer differing bits. The bits are dealt into partitions, correlated ones
 together; partition i gets a threshold t_i (-1: unused) with sum(t_i + 1) = distance + 1, so that two fingerprints that link
 differ in at most t_i bits of some partition i. A dynamic programme picks the thresholds with the least estimated work: keys to
-send and candidates to verify. A threshold t becomes keys by halves: one side sends every value within ceil(t/2) flips, the
-other every value within floor(t/2), so two values within t meet at some key.
+send and candidates to verify. A threshold t becomes keys by halves: every row sends the values within ceil(t/2) flips, each once,
+so two values within t meet at some key.
 
 Candidates of a key are verified, but not all pairs of it: first every member is held against the key's smallest one, which
 joins most of a large group of near copies; then only pairs between different components of a key are compared.
@@ -101,8 +101,7 @@ def arrange(n: int, counts: np.ndarray, parts: int) -> list[list[int]]:
 
 def keys_of(width: int, t: int) -> int:
     """Keys that a row sends for threshold t in a partition of so many bits."""
-    ball = lambda r: sum(comb(width, k) for k in range(r + 1))
-    return 0 if t < 0 else ball((t + 1) // 2) + (ball(t // 2) if t % 2 else 0)
+    return 0 if t < 0 else sum(comb(width, k) for k in range((t + 1) // 2 + 1))
 
 
 def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int) -> tuple[list[int], float]:
@@ -135,7 +134,7 @@ def best_parts(n: int, counts: np.ndarray, distance: int, most: int = 6) -> tupl
 
 
 def keyed(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, node, fp): the rows that probe and that are probed."""
+    """(key, node, fp): the rows that meet under a key, a node once."""
 
     def run(batches):
         import pyarrow as pa
@@ -150,8 +149,7 @@ def keyed(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> Da
                     value = np.zeros(len(fp), np.uint64)
                     for j, b in enumerate(part):
                         value |= ((fp.view(np.uint64) >> np.uint64(BITS - 1 - b)) & np.uint64(1)) << np.uint64(j)
-                    flips = {r: [sum(1 << x for x in c) for m in range(r + 1) for c in combinations(range(len(part)), m)] for r in {(t + 1) // 2, t // 2}}
-                    masks = np.array(flips[(t + 1) // 2] + (flips[t // 2] if t % 2 else []), np.uint64)
+                    masks = np.array([sum(1 << x for x in c) for m in range((t + 1) // 2 + 1) for c in combinations(range(len(part)), m)], np.uint64)
                     keys = (value[:, None] ^ masks[None, :]).ravel().view(np.int64)
                     # a partition number in the key: narrow partitions leave room, whole-width ones hash
                     keys = keys + (k << 56) if len(part) <= 48 else keys * np.int64(2 * k + 1)
@@ -168,7 +166,7 @@ def linked(nodes: DataFrame, distance: int = 4, parts: int | None = None, known:
     n, counts = bit_counts(nodes)
     groups, given = best_parts(n, counts, distance) if parts is None else ((g := arrange(n, counts, parts)), allocate(n, counts, g, distance)[0])
     w = Window.partitionBy("key")
-    met = keyed(nodes, groups, given).groupBy("key", "node", "fp").agg(F.count("*").alias("_n")).drop("_n") if verify else keyed(nodes, groups, given)
+    met = keyed(nodes, groups, given)
     own = F.struct("node", "fp")
     met = met.withColumns({"lead": F.min(own).over(w), "last": F.max("node").over(w)}).where("lead.node < last")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance) & (F.col("node") != F.col("lead.node"))
