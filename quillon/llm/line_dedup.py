@@ -382,7 +382,8 @@ def met(rows: DataFrame, similarity: float, near: int = NEAR, lot: int = LOT) ->
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
     """(s, doc_id, line): of pairs (a, b) of sets with similar words, the one whose first place comes later; the lines are read from their texts."""
     wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(firsts, "s")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "s")).alias("own"))
+    # wanted grows with the corpus: a merge join at every size, no broadcast
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "s")).alias("own")).hint("merge")
 
     def run(batches):
         import pyarrow as pa
@@ -451,7 +452,7 @@ def dedup(docs: DataFrame, similarity: float = 0.8, out: str = "lines") -> DataF
     an underscore more. Other columns stay as they are."""
     out, key = free(docs, out), free(docs, "_doc")
     gone = removed(docs, similarity).select(F.col("doc_id").alias(key), F.col("lines").alias(f"{key}_gone"))
-    rows = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL)) == gone[key], "left").drop(key)
+    rows = docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL)) == gone[key], "left").drop(key)
     lost = F.col(f"{key}_gone")
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lost, i)), "\n")
