@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, s
                 sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
     own = stage(own.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, hashes array<long>"), "compared")
     both = pairs.join(own.select(F.col("node").alias("x"), F.col("hashes").alias("hx")), "x").join(own.select(F.col("node").alias("y"), F.col("hashes").alias("hy")), "y")
     shared = F.size(F.array_intersect("hx", "hy"))
@@ -280,4 +280,4 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
     gone = stage(named.join(least, "label").where("doc_id <> least").select("doc_id").distinct(), "gone")
     key = free(docs, "_gone")
-    return docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"].cast("long") == F.col(key), "left_anti").select(*docs.columns)
+    return docs.join(gone.withColumnRenamed("doc_id", key).hint("merge"), docs["doc_id"].cast("long") == F.col(key), "left_anti").select(*docs.columns)
