@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, line_dedup, mixing, order_minhash, packing, quality_model, quality_rules, simhash, suffix_dedup, token_files
+from quillon.llm import langid, lexical_search, license_scan, line_dedup, mixing, order_minhash, packing, quality_model, quality_rules, resampling, simhash, suffix_dedup, token_files
 from quillon.llm.common import documents, stage, vocabulary
 from quillon.session import table
 
@@ -81,6 +81,19 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", shown("fp").alias("fingerprint"), shown("efp").alias("edited_fingerprint"), order_minhash.likeness("fp", "efp").alias("near_edited"), order_minhash.likeness("fp", "nfp").alias("near_next"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def in_order():
     """Order of documents within a block: descending, the next block's first document, a guest, at the end."""
     return Window.partitionBy("block").orderBy("guest", F.desc("key"), "text_key")
@@ -113,9 +126,9 @@ def neighbours(docs: DataFrame, blocks: int = 400) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_language_id, op3_line_dedup, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_packing, op8_token_files, op9_quality_model, op10_order_minhash]
+    found = [op1_simhash, op2_language_id, op3_line_dedup, op4_quality_rules, op5_mixing, op6_suffix_dedup, op7_packing, op8_token_files, op9_quality_model, op10_order_minhash, op11_lexical_search, op12_resampling, op13_license_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical_search": lexical_search.SQL, "op12_resampling": resampling.SQL, "op13_license_scan": license_scan.SQL}
