@@ -8,7 +8,7 @@ takes the next shared one too, from a prefix one longer, and a third one where t
 occurs once is no key. Length, position and a 128-bit parity bitmap of the words (its difference is at most the difference of the
 sets) filter candidates; the rest are verified on the 64-bit hashes of all their words, read from the texts again.
 
-Equal sets settle by their first place, so only distinct sets are compared. Their key rows travel in arrays, one for each of a
+Equal sets, told by a 64-bit hash of their words' whole 64-bit hashes, settle by their first place, so only distinct sets are compared. Their key rows travel in arrays, one for each of a
 number of key ranges, and meet there in order of size: a set is held against the smaller ones that its position allows, among those
 whose positions allow larger ones. Under a key where these are more than NEAR, or more than FEW of them pass the filters, only some and
 the key's first set are compared; the sets that find no match that way go to a full join on those keys.
@@ -123,21 +123,29 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sets_of(hashes: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words of lines 0 to 65,535, by hash, to (line, word numbers, begin of each line's numbers, their count).
+    """Words of lines 0 to 65,535, by hash, to (line, word numbers, their hashes, begin of each line's words, their count).
 
-    A number is the level of the word's count above 40 bits of its hash: numbers in order have the rarest first."""
+    A number is the level of the word's count above 40 bits of its hash: numbers in order have the rarest first. Words are told
+    apart by their whole hashes; two of one number both stay, in any order, and count as two."""
     found = (line.astype(np.uint64) << np.uint64(48)) | (levels[hashes & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24))
-    found.sort()
+    order = np.argsort(found)
+    found, hashes = found[order], hashes[order]
     if len(found):
-        found = found[np.append(True, found[1:] != found[:-1])]
+        same, alike = found[1:] == found[:-1], hashes[1:] == hashes[:-1]
+        if (same & ~alike).any():  # words of one number: put the repeats of each together
+            order = np.lexsort((hashes, found))
+            found, hashes = found[order], hashes[order]
+            alike = hashes[1:] == hashes[:-1]
+        new = np.append(True, ~(same & alike))
+        found, hashes = found[new], hashes[new]
     n = np.bincount((found >> np.uint64(48)).astype(np.int64))
     line = np.flatnonzero(n)
-    return line, found & np.uint64((1 << 48) - 1), np.cumsum(n[line]) - n[line], n[line]
+    return line, found & np.uint64((1 << 48) - 1), hashes, np.cumsum(n[line]) - n[line], n[line]
 
 
-def identity(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set a 64-bit hash and a parity bitmap of 128 bits in two parts."""
-    hashes = mixed(words)
+def identity(hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set of words, by their whole hashes, a 64-bit hash and a parity bitmap of 128 bits in two parts."""
+    hashes = mixed(hashes)
     s = mixed(np.add.reduceat(hashes, begin) + n.astype(np.uint64))
     bit, second = np.uint64(1) << (hashes >> np.uint64(58)), (hashes & np.uint64(1)).astype(bool)
     return s.view(np.int64), *(np.bitwise_xor.reduceat(np.where(second == k, bit, np.uint64(0)), begin) for k in (False, True))
@@ -214,7 +222,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, total: int, similarity: floa
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["kind", "bucket", "data"])
 
         def pieces():
-            """(doc_id and line number of each line with words, word numbers, their begin, their count), for at most 65,536 lines at a time."""
+            """(doc_id and line number of each line with words, word numbers, hashes, their begin, their count), for at most 65,536 lines at a time."""
             for ids, texts in lots(batches):
                 text = b"\n".join(texts)
                 many = np.array([x.count(b"\n") + 1 for x in texts])
@@ -228,8 +236,8 @@ def signatures(docs: DataFrame, levels: np.ndarray, total: int, similarity: floa
                         own, *rest = sets_of(hashes[a:b], line[a:b] - at, levels)
                         yield doc[own + at], no[own + at], *rest
 
-        for own_doc, own_no, words, begin, n in pieces():
-            s, bits, more = identity(words, begin, n)
+        for own_doc, own_no, words, hashes, begin, n in pieces():
+            s, bits, more = identity(hashes, begin, n)
             order = np.lexsort((own_no, own_doc, s))
             new = np.append(True, s[order][1:] != s[order][:-1])[: len(order)]
             lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]

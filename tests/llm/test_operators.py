@@ -487,3 +487,10 @@ def test_pipeline_run(spark, tmp_path):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 2048 and len(ends) <= -(-sum(ends.values()) // 2048) * 1.02 + 2
+
+
+def test_line_dedup_tells_words_of_one_number_apart(spark):
+    """Words that share the 40 bits which order them are different words still, in lines of their own and within one line."""
+    rows = [(1, "yjctedulhi"), (2, "pubjitqxwz"), (3, "yjctedulhi pubjitqxwz yjctedulhi pubjitqxwz"), (4, "pubjitqxwz yjctedulhi"), (5, "yjctedulhi yjctedulhi")]
+    found = line_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.lines for r in found.collect()} == brute.removed_lines(rows) == {4: [0], 5: [0]}
