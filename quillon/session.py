@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,3 +56,22 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, f"{root.name}/{file.relative_to(root)}")
     context.addPyFile(path)
     context._quillon_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, in spark.checkpoint.dir or, where that is unset and all run on one machine, a temporary one; deleted when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex[:12]}-{name}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path
