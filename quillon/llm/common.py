@@ -72,6 +72,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 8 << 20):
+    """Batches for Python workers of at most about ``most`` bytes while jobs run in it; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the tables of stage() that no DataFrame to come will read."""
     for df in frames:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import release, stage
+from quillon.llm.common import arrow_bytes, release, stage
 from quillon.llm.terms import byte_words, duck_words
 
 #: Postings of a block of documents, term places of a block of items, bytes of items that may be broadcast, candidates held in a task.
@@ -157,7 +157,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
     tables give no rows. Other columns are not read. Items are broadcast up to BROADCAST bytes; beyond, blocks of items and
     blocks of documents meet in a merge join over salted keys.
     """
-    index = stage(blocks(docs, key, text), "blocks")
+    spark = docs.sparkSession
+    with arrow_bytes(spark):
+        index = stage(blocks(docs, key, text), "blocks")
     asked = stage(item_terms(items, item_key, text, repeats), "items")
     n_blocks, n_docs, n_terms = index.select(F.size(F.filter("lens", lambda x: x > 0)).alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0))).first()
     places, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))).first()
@@ -177,7 +179,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
     order = [F.desc("score"), F.asc_nulls_last("doc")]
     for by in (["item", F.pmod(F.xxhash64("doc"), F.lit(64))], ["item"]):
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
-    best = stage(best, "best")
+    with arrow_bytes(spark):
+        best = stage(best, "best")
     release(index, lists, asked)
     return best.select(F.col("key").alias(item_key), "rank", F.col("doc").alias(key), "score")
 
