@@ -100,5 +100,5 @@ def same_word(a: Column, b: Column) -> Column:
 
 def positions(text: Column) -> Column:
     """For each character of the normalised text, the position from 0 of the character of text that it comes from."""
-    each = F.transform(F.split(text, ""), lambda c, i: F.array_repeat(i, F.when(c.isin(list(tx.LIGATURES)), 2).otherwise(1)))
+    each = F.transform(F.split(text, ""), lambda c, i: F.array_repeat(i, F.when(c.isin(list(tx.LIGATURES)), 2).when(c.rlike("^\\p{M}$"), 0).otherwise(1)))
     return F.when(F.length(text) > 0, F.flatten(each)).otherwise(F.expr("cast(array() as array<int>)"))

@@ -15,20 +15,28 @@ LIGATURES = {"œ": "oe", "Œ": "oe", "æ": "ae", "Æ": "ae", "ß": "ss"}
 WORD = "[\\p{L}\\p{N}]+"
 
 
+# What counts as white space: the controls, the no-break space and the blanks of other widths.
+BLANKS = "\t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def _folding() -> tuple[str, str]:
-    """Accented Latin letters and their bare forms, from Unicode's own decompositions."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFD", c) != c]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Letters with marks and their bare forms, from Unicode's own decompositions, then the marks themselves, which have none; letters
+    whose decomposition has several letters stay."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+    every = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    pairs = [(c, b) for c in every if len(b := bare(c)) == 1 and b != c]
+    return "".join(a for a, _ in pairs) + "".join(c for c in every if not bare(c)), "".join(b for _, b in pairs)
 
 
 ACCENTED, BARE = _folding()
 
 
 def normalize(text: Column) -> Column:
-    """Lower case without accents; ligatures spelt out, apostrophes unified, any white space a blank."""
+    """Lower case without accents, of whole letters or as marks of their own; ligatures spelt out, apostrophes unified, any white space a blank."""
     for a, b in LIGATURES.items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.lower(F.translate(F.translate(text, APOSTROPHES + "\t\n\r ", "'" * len(APOSTROPHES) + "    "), ACCENTED, BARE))
+    plain = APOSTROPHES + BLANKS
+    return F.lower(F.translate(text, plain + ACCENTED, "'" * len(APOSTROPHES) + " " * len(BLANKS) + BARE))
 
 
 def tokens(text: Column) -> Column:

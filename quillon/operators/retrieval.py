@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.session import spread
+from quillon.session import kept, spread
 
 K1, B = 1.2, 0.75
 
@@ -21,7 +21,7 @@ def term_table(docs: DataFrame, key: str, text: str, terms: list[str], prefix_fr
     count = lambda w: F.array(F.size(w), *[F.size(F.filter(w, test(t))) for t in terms])
     found = spread(docs.select(key, text)).select(key, tx.once(tx.tokens(tx.normalize(F.col(text))), count).alias("n"))
     # narrow, and read twice: for the statistics and for the scores
-    return found.select(key, F.col("n")[0].alias("len"), *[F.col("n")[k + 1].alias(f"tf_{k}") for k in range(len(terms))]).persist()
+    return kept(found.select(key, F.col("n")[0].alias("len"), *[F.col("n")[k + 1].alias(f"tf_{k}") for k in range(len(terms))]), "terms")
 
 
 def bm25(table: DataFrame, key: str, n_terms: int, weights: list[float] | None = None) -> DataFrame:

@@ -102,12 +102,13 @@ def accepted(events: DataFrame, key: str, seconds: int) -> DataFrame:
 
 
 def in_network(ip: Column, cidr: str) -> Column:
-    """Whether a dotted IPv4 address is in a network; null for what is no address."""
+    """Whether a dotted IPv4 address is in a network, which without a length is one address; null for what is no address."""
     base, _, bits = cidr.partition("/")
+    bits = bits or "32"
     net = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split("."))) >> (32 - int(bits))
     parts = F.split(ip, "[.]")
     number = sum((F.shiftleft(parts[k].cast("long"), 24 - 8 * k) for k in range(1, 4)), F.shiftleft(parts[0].cast("long"), 24))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.shiftright(number, 32 - int(bits)) == net)
+    return F.when(ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?:\.(?!$)|$)){4}$"), F.shiftright(number, 32 - int(bits)) == net)
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
@@ -121,7 +122,7 @@ def first_rule(rows: DataFrame, rules: DataFrame, fields: list[str]) -> DataFram
     for rule in sorted(listed, key=lambda r: -r["ordinal"]):
         fits = F.lit(True)
         for name in fields:
-            pattern = "^" + "".join(".*" if x == "*" else "[" + x + "]" if x in ".+?()[]{}|$" else x for x in rule[name]) + "$"
+            pattern = "(?s)^" + ".*".join("\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E" for x in rule[name].split("*")) + "$"
             fits = fits & F.col(f"_{name}").rlike(pattern)
         answer = F.when(fits, F.lit(rule["answer"])).otherwise(answer)
     return rows.withColumn("answer", answer)

@@ -96,9 +96,9 @@ def traffic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type", (F.col("user_id") % 10).alias("source"), port.alias("port")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT user_id, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip, user_id < 64 AS member FROM events WHERE user_id < 65536")
+@query("SELECT DISTINCT user_id, '10.' || ((user_id >> 16) & 255) || '.' || ((user_id >> 8) & 255) || '.' || (user_id & 255) AS ip, (user_id & 16777215) < 64 AS member FROM events WHERE user_id IS NOT NULL")
 def cidr_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an address is in 10.0.0.0/26, by its bits. The SQL twin stops at user 65535; here every user has a row."""
+    """Whether an address is in 10.0.0.0/26, by its bits."""
     ip = F.concat_ws(".", F.lit("10"), *(F.shiftright("user_id", k).bitwiseAND(255) for k in (16, 8, 0)))
     df = events(spark, sf_dir).where("user_id is not null").select("user_id", ip.alias("ip")).distinct()
     return df.select("user_id", "ip", tb.in_network(F.col("ip"), "10.0.0.0/26").alias("member"))

@@ -75,3 +75,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     atexit.register(remove)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch() folder and read back, for what is read more than once: no memory stays taken, and lost executors lose nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Stateful streams over events (event_id, ts timestamp, user_id, ...): rate limit, link state, release times, upserts, windows."""
+"""Stateful streams over events (event_id, ts timestamp, user_id, ...): rate limit, link state, upserts, windows."""
 
 from __future__ import annotations
 

@@ -68,3 +68,46 @@ def test_hits_takes_words_literally(spark):
     df = spark.createDataFrame([("c++ and c, c+ (x) a.b aab",)], "t string")
     found = df.select(*[tx.hits(F.col("t"), w).alias(f"h{k}") for k, w in enumerate(["c++", "c", "(x", "a.b", "an d"])]).first()
     assert tuple(found) == (1, 3, 1, 1, 0)
+
+
+def test_normalize_takes_all_marks_off(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from quillon.functions import rules
+    from quillon.functions import text as tx
+
+    texts = ["Ẽté ẬB éa Ύψ Ἀθ", "a b　c﻿d e\x0bf", "ŒUVRE œ’‘ ß", "각 한국", "ЙЁ й", "", None, "x̧́y"]
+
+    def plain(s):
+        out = ""
+        for c in s:
+            if c in tx.LIGATURES:
+                out += tx.LIGATURES[c]
+            elif c in tx.APOSTROPHES:
+                out += "'"
+            elif c.isspace() or c == "﻿":
+                out += " "
+            else:
+                bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M").lower()
+                out += bare if len(bare) < 2 else c
+        return out
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", tx.normalize(F.col("t")).alias("n"), rules.positions(F.col("t")).alias("at"))
+    for r in df.collect():
+        assert r.n == (None if texts[r.k] is None else plain(texts[r.k])), (texts[r.k], r.n)
+        assert r.n is None or len(r["at"]) == len(r.n)
+
+
+def test_first_rule_takes_marks_literally(spark):
+    from quillon.operators.tables import first_rule, in_network
+    from pyspark.sql import functions as F
+
+    rules_ = spark.createDataFrame([(0, "[[]", 1), (1, "a^b", 2), (2, "c\\E.*", 3), (3, "x*y*", 4), (4, "$(1)", 5), (5, "*", 6)], "ordinal int, host string, answer int")
+    rows = spark.createDataFrame([("[[]",), ("a^b",), ("c\\E.d",), ("c\\Exd",), ("xzyz",), ("x\ny",), ("$(1)",), ("",)], "_host string")
+    found = {r._host: r.answer for r in first_rule(rows, rules_, ["host"]).collect()}
+    assert found == {"[[]": 1, "a^b": 2, "c\\E.d": 3, "c\\Exd": 6, "xzyz": 4, "x\ny": 4, "$(1)": 5, "": 6}
+    ips = spark.createDataFrame([("10.0.0.5",), ("999.1.1.1",), ("10.0.0",), ("10.0.0.6",), ("10.0.0.5.",), (None,)], "ip string")
+    assert [r[0] for r in ips.select(in_network(F.col("ip"), "10.0.0.5")).collect()] == [True, None, None, False, None, None]
+    assert [r[0] for r in ips.select(in_network(F.col("ip"), "0.0.0.0/0")).collect()][:2] == [True, None]
