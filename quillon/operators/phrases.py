@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import lexicon as lx
 from quillon.functions import text as tx
+from quillon.session import kept
 
 
 def found(texts: DataFrame, words: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -74,9 +75,10 @@ def section_search(asked: DataFrame, sections: DataFrame, strength: DataFrame, k
     """
     words = asked.select("question", F.size("words").alias("n"), F.explode("words").alias("word"))
     own = lambda c, flag: sections.select("article", "section", F.explode(tx.tokens(F.col(c))).alias("term"), F.lit(flag).alias("titled"))
-    terms = own("norm", False).union(own("titles", True)).groupBy("article", "section", "term").agg(F.count_if(~F.col("titled")).alias("hits"), F.max("titled").alias("titled"))
-    held = terms.join(starting(words, "word", terms, "term"), "term").groupBy("word", "article", "section")
-    held = held.agg(F.least(F.sum("hits"), F.lit(10)).alias("hits"), F.max("titled").alias("titled"))
+    terms = own("norm", False).union(own("titles", True))
+    # the words' own terms, known from the distinct ones, are all that is grouped by section
+    pairs = kept(starting(words, "word", terms, "term"), "pairs")
+    held = terms.join(pairs, "term").groupBy("word", "article", "section").agg(F.least(F.count_if(~F.col("titled")), F.lit(10)).alias("hits"), F.max("titled").alias("titled"))
     rare = held.groupBy("word").agg(F.count("*").alias("df"))
     first = words.join(rare, "word", "left").groupBy("question").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
     candidates = first.join(held, "word").select("question", "article", "section")

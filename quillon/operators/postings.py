@@ -36,12 +36,19 @@ def postings(chunks: DataFrame, buckets: int) -> DataFrame:
 
     words = [weighted(c, w) for c, w in WEIGHTS.items()]
     each = chunks.select("path", "rank", "version", "n_words", F.explode(F.concat(*words)).alias("x")).select("path", "rank", "version", "n_words", "x.*")
-    return each.groupBy("path", "rank", "version", "n_words", "term").agg(F.sum("tf").alias("tf")).withColumn("bucket", bucket(F.col("term"), buckets))
+    # dealt by bucket before the sums, which need no other order: words cross the network once
+    dealt = _dealt(each.withColumn("bucket", bucket(F.col("term"), buckets)))
+    return dealt.groupBy("path", "rank", "version", "n_words", "term", "bucket", "_part").agg(F.sum("tf").alias("tf")).select("path", "rank", "version", "n_words", "term", "tf", "bucket")
 
 
-def laid_out(rows: DataFrame, spread: int = 8) -> DataFrame:
-    """Postings ready to be written by bucket: a bucket in at most ``spread`` tasks, so that one of common words is no single task; terms in order, for the statistics of Parquet."""
-    return rows.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(spread))).sortWithinPartitions("bucket", "term")
+def _dealt(rows: DataFrame, spread: int = 8) -> DataFrame:
+    """rows of a bucket in at most ``spread`` tasks, so that one of common words is no single task."""
+    return rows.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(spread)).cast("int")).repartition("bucket", "_part")
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Postings as they are written: by bucket, terms in order, for the statistics of Parquet."""
+    return rows.sortWithinPartitions("bucket", "term")
 
 
 def _table(now: Snapshot, name: str, schema: str) -> DataFrame:
@@ -117,7 +124,7 @@ def compact(store: Store) -> Snapshot:
     """Postings and chunks in one part each, without rows that no longer count; the tables say the same as before."""
     with store.change() as new:
         new.put("chunks", chunks(new.base))
-        new.put("postings", laid_out(live(new.base, new.base.table("postings"))), "bucket")
+        new.put("postings", laid_out(_dealt(live(new.base, new.base.table("postings"))).drop("_part")), "bucket")
         new.put("gone", store.spark.createDataFrame([], GONE))
     return store.snapshot()
 

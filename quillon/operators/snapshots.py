@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Conflict(RuntimeError):
     """Another change has made this version first."""
 
@@ -115,7 +118,13 @@ class Change:
     def _write(self, df: DataFrame, by: str | None) -> str:
         part = uuid.uuid4().hex
         writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(f"{self.store.path}/data/{part}")
+        conf = self.store.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the shuffle files of this job go with it
+        try:
+            writer.parquet(f"{self.store.path}/data/{part}")
+        finally:
+            conf.set(CLEANUP, before)
         return part
 
     def put(self, name: str, df: DataFrame, by: str | None = None) -> None:
