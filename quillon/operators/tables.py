@@ -87,6 +87,21 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("s")
 
 
+def leases(releases: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, since, until, n): stretches in which a key is released, each release (key, ts) lasting ``seconds`` from its time.
+
+    A release at the very end of a stretch begins a new one. Stretches are found within a day first, at most one more than fit in it, and then
+    joined over days: no key is sorted whole. A null key is a key; rows without a time are left out."""
+    ts = F.col("ts").cast("timestamp")
+    rows = releases.where("ts is not null").select(key, ts.alias("first"), ts.alias("last"), F.lit(1).cast("long").alias("n"), F.to_date(ts).alias("day"))
+    for parts in ([key, "day"], [key]):
+        w = Window.partitionBy(*parts).orderBy("first", "last")
+        new = F.coalesce(F.unix_micros("first") >= F.unix_micros(F.lag("last").over(w)) + F.lit(seconds * 1_000_000), F.lit(True))
+        numbered = rows.withColumn("stretch", F.sum(new.cast("int")).over(w))
+        rows = numbered.groupBy(*parts, "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("stretch")
+    return rows.select(key, F.col("first").alias("since"), F.timestamp_micros(F.unix_micros("last") + F.lit(seconds * 1_000_000)).alias("until"), "n")
+
+
 def accepted(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """(key, event_id) that a rate limit lets through: at least so long after the last accepted one of the key.
 

@@ -9,6 +9,7 @@ from quillon.operators import tables as tb
 from quillon.plans.registry import query
 from quillon.plans.text_queries import LONG
 from quillon.session import table
+from quillon.streaming import timers
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,28 @@ def stalled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.sessions(events(spark, sf_dir), "user_id", "6 hours").select("user_id", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")
 
 
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS until, count(*) AS n
+    FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def lease_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches in which a user is released, each event releasing for twelve hours from its time."""
+    found = tb.leases(events(spark, sf_dir), "user_id", timers.LEASE)
+    return found.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("since", "until")], "n")
+
+
+@query("""WITH RECURSIVE d AS (SELECT user_id, date_trunc('day', ts) AS ts, count_if(event_type <> 'error') AS good, bool_or(event_type = 'click') AS names FROM events GROUP BY ALL),
+    p AS (SELECT user_id, ts, CASE WHEN good = 0 THEN 'down' WHEN good >= 2 AND names THEN 'up' ELSE 'degraded' END AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM d),
+    r AS (SELECT user_id, k, ts, state, true AS changed, CASE WHEN state = 'up' THEN ts END AS contact, CASE WHEN state = 'up' THEN ts END AS kept, CASE WHEN state = 'up' THEN ts END AS kept_at, state = 'up' AS written FROM p WHERE k = 1
+    UNION ALL SELECT user_id, k, ts, state, changed, contact, CASE WHEN w THEN contact ELSE kept END, CASE WHEN w THEN ts ELSE kept_at END, w
+        FROM (SELECT *, contact IS DISTINCT FROM kept AND (state <> 'up' OR kept_at IS NULL OR ts - kept_at > INTERVAL 3 DAY) AS w
+            FROM (SELECT p.user_id, p.k, p.ts, p.state, p.state <> r.state AS changed, CASE WHEN p.state = 'up' THEN p.ts ELSE r.contact END AS contact, r.kept, r.kept_at FROM r JOIN p ON p.user_id = r.user_id AND p.k = r.k + 1)))
+    SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, state, strftime(contact, '%Y-%m-%d') AS contact, written FROM r WHERE changed OR written""")
+def link_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe a day from each user's events: where the state changes, and where the last contact is written, every three days at most while the link holds."""
+    probes = events(spark, sf_dir).groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts")).agg(F.count_if(F.col("event_type") != "error").alias("good"), F.bool_or(F.col("event_type") == "click").alias("names"))
+    found = timers.link_log_of(probes.withColumn("order", F.lit(0)), "user_id", "order", timers.link_state(F.col("good"), F.col("names")), 3 * 86400)
+    return found.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "state", F.date_format("contact", "yyyy-MM-dd").alias("contact"), "written")
+
+
 @query("""SELECT user_id, CASE WHEN share > 0.25 THEN 2 WHEN share > 0.2 OR late > 20 THEN 1 ELSE 0 END AS level, concat_ws(',', CASE WHEN share > 0.2 THEN 'errors' END, CASE WHEN late > 20 THEN 'load' END) AS reasons
     FROM (SELECT user_id, count_if(event_type = 'error') / count(*) AS share, count_if(value > 100) AS late FROM events GROUP BY user_id)""")
 def health_level(spark: SparkSession, sf_dir: str) -> DataFrame:
