@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.session import ship, spread
+from quillon.sources import extract
 
 HEADING = r"^[\p{Lu}\p{N}].*"
 
@@ -30,6 +31,26 @@ def repeated(lines: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame
     return lines.select(key, shape.alias("shape")).groupBy(key, "shape").agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 
+def format_blocks(df: DataFrame, key: str, text: str, form: str) -> DataFrame:
+    """(key, pos, text, heading, guessed) of texts in one format, ``txt``, ``md`` or ``html``, by the rules of the folder reader.
+
+    Null and empty texts have no rows; null and repeated keys are kept apart only by their rows."""
+    read = {"txt": lambda x: extract.paragraphs(x.replace("\r\n", "\n").replace("\r", "\n")), "md": lambda x: extract.markdown(x)[1], "html": lambda x: extract.page(x)[1]}[form]
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = (pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        for batch in batches:
+            out = [(k, pos, *x) for k, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pos, x in enumerate(read(one or ""))]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.column(0).type, *types), strict=True)], [key, "pos", "text", "heading", "guessed"])
+
+    ship(df.sparkSession)
+    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, pos int, text string, heading boolean, guessed boolean")
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tag, body): headings, paragraphs and list items of pages, scripts, styles and comments left out."""
     clean = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")

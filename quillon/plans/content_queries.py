@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillon.functions import lexicon as lx
 from quillon.functions import text as tx
 from quillon.operators import block_fold, html_clean, phrases
+from quillon.operators.text_units import format_blocks
 from quillon.plans.registry import query
 from quillon.session import spread, table
+from quillon.sources import extract
 
 W = "[\\p{L}\\p{N}]+"
 
@@ -144,3 +146,33 @@ def content_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     known = pages.where("page_id % 2 = 0").select(F.explode(F.array(F.regexp_extract("url", "^https?://[^/]+/", 0), F.regexp_extract("url", "^https?://[^/]+/[^/]+/", 0))).alias("prefix")).where("prefix <> ''").distinct()
     return phrases.longest_prefix(pages, "url", known.withColumn("size", F.length("prefix")), "prefix")
+
+
+def _sql_unescaped(text: str) -> str:
+    """SQL for the named entities; the ampersand's own comes last."""
+    for name in [x for x in extract.ENTITIES if x != "amp"] + ["amp"]:
+        text = f"replace({text}, '&{name};', chr({ord(extract.html5[name + ';'])}))"
+    return text
+
+
+_HIDDEN = "|".join(rf"<{x}\b.*?</{x}\s*>" for x in extract.HIDDEN.split("|"))
+_PAGE_TEXT = _sql_unescaped(rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{_HIDDEN}', ' ', 'g'),
+    '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', chr(10) || chr(10) || chr(1) || '\1' || chr(10) || chr(10), 'g'), '(?i)</({"|".join(extract.ENDS)})\s*>', chr(10) || chr(10), 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)<li\b[^>]*>', '• ', 'g'), '<[^>]+>', ' ', 'g')""")
+
+
+@query(rf"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS pos, md5(trim(replace(p, chr(1), ''))) AS hash, starts_with(p, chr(1)) AS heading
+    FROM (SELECT page_id, k, trim(regexp_replace(replace(part, chr(10), ' '), '[ \t\x{{a0}}]+', ' ', 'g')) AS p FROM (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM (SELECT page_id, string_split_regex({_PAGE_TEXT}, '\n\s*\n') AS parts FROM pages)))
+    WHERE trim(replace(p, chr(1), '')) <> ''""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and paragraphs of each page in order, entities read, scripts and the like left out."""
+    found = format_blocks(spread(table(spark, sf_dir, "pages")), "page_id", "html", "html")
+    return found.select("page_id", "pos", F.md5("text").alias("hash"), "heading")
+
+
+@query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS pos, md5(regexp_replace(p, '[ \t\x{a0}]+', ' ', 'g')) AS hash, length(p) <= 80 AND regexp_matches(p, '\p{L}') AND NOT regexp_matches(p, '[.,;:!?…)]$') AND regexp_matches(p, '^[\p{Lu}0-9]') AS heading
+    FROM (SELECT doc_id, k, regexp_replace(line, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL))
+    WHERE p <> '' AND NOT regexp_matches(p, '^[0-9]+$')""")
+def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of each document, every line being one: lone numbers are left out, short lines without a final mark are headings."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return format_blocks(docs, "doc_id", "text", "txt").select("doc_id", "pos", F.md5("text").alias("hash"), "heading")
