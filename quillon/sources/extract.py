@@ -119,7 +119,7 @@ def page(source: str) -> tuple[str, Blocks]:
             flush()
             heading = len(out)
         elif level and m[2] and heading is not None:
-            if text := unescaped(" ".join("".join(held).split())).strip():
+            if text := tidy(unescaped(" ".join("".join(held).split()))):
                 out.append((text, True, False))
             held.clear()
             heading = None
