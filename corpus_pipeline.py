@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each a table that the next one reads."""
+"""From raw documents to packed training sequences: five stages, each a table that the next one reads.
+
+What the stages do with unusual rows: a null text counts as an empty one and fails the quality rules, so it goes in the first stage;
+given to the near-copies stage, texts without a word are copies of each other. An empty table gives an empty table. Ties go to the
+smaller doc_id; rows that repeat a doc_id stay or go together as near copies. Columns that documents do not have are kept by all
+stages but the last. Texts are read whole, however long. A null source is one source of its own.
+"""
 
 from __future__ import annotations
 
@@ -17,10 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that come again, or nearly, go from the later place; n_chars follows the text."""
+    """Lines that come again, or nearly, go from the later place; n_chars, where there is such a column, follows the text."""
     ship(spark)
     found = line_dedup.cleaned(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
