@@ -39,6 +39,25 @@ DANGER = [
     [["sent", "sens", "bouge", "bouger", "remue", "remuer"], ["plus"], ["jambe", "bras", "pied", "main"]],
 ]
 ENDING = "(es|s|e|x)$"
+# Phrases that are a sign of danger by themselves (normalised, apostrophes as blanks), and everyday injuries, on which a
+# model's own flag is not believed.
+SIGNS = [
+    r"\b(perte de connaissance|perdu connaissance|evanoui|evanouie|s evanouit|inconscient|inconsciente|ne repond plus|ne se reveille pas|coma)\b",
+    r"\b(respire (mal|plus|difficilement)|n arrive (pas|plus) a respirer|du mal a respirer|difficulte(s)? a respirer|detresse respiratoire|etouffe|suffoque|s etrangle|asphyxi)",
+    r"\b(douleur|mal|serrement|oppression|poids)\b.{0,25}\b(poitrine|thorax|thoracique|sternum)\b",
+    r"\b(saigne (beaucoup|abondamment|enormement|sans arret|toujours)|saignement (important|abondant|massif)|le sang (coule|gicle)|hemorragie|perd beaucoup de sang|n arrete pas de saigner|ne s arrete pas de saigner)",
+    r"\bbrul(e|ee|ure|ures|ees)\b.{0,40}\b(etendue?s?|grave|graves|profondes?|au visage|aux yeux|tout le bras|toute la jambe|electrique|chimique|3e degre|troisieme degre|second degre)\b",
+    r"\b(fracture ouverte|os (qui )?(sort|depasse|traverse la peau))\b",
+    r"\b(convulsion|convulse|crise d epilepsie|epileptique)\b",
+    r"\b(intoxication|intoxique|empoisonn|a avale (du|de la|des|un|une) (produit|javel|medicament|pilule|essence|soude)|overdose|surdose|monoxyde|champignon veneneux)",
+    r"\b(noyade|se noie|s est noye|repeche de l eau)\b",
+    r"\b(electrisation|electrocut|foudroy|pris le courant)\b",
+    r"\b(suicide|me suicider|me tuer|en finir avec la vie)\b",
+]
+COMMON_INJURY = r"\b(coupe|coupure|egratignure|ecorchure|griffure|bleu|bosse|ampoule|echarde|piqure de moustique|petite brulure|mal de (tete|dos|ventre|gorge)|rhume|courbature|entorse legere)\b"
+# The shape of a term; what a page of word definitions looks like, and how many of them make one.
+TERM = r"^\p{L}[\p{L}\p{N}\s'’-]{1,39}$"
+DEFINITION, DEFINITIONS = r"[\p{L}'’-]+, (?:adj|adv|f|m|n|v|nf|nm|pl)", 6
 
 
 def spaced(text: Column) -> Column:
@@ -82,6 +101,22 @@ def forms(group: list[str]) -> list[str]:
     return sorted({*group, *(re.sub(ENDING, "", x) for x in group)})
 
 
+def serious(text: Column, flag: Column) -> Column:
+    """Whether a message shows a grave danger: a phrase of SIGNS, a word of each group of DANGER, or else a model's ``flag`` unless
+    an everyday injury is named. A null text shows none; a null flag is none."""
+
+    def of(t: Column) -> Column:
+        signs = F.exists(F.array(*[F.lit(x) for x in SIGNS]), lambda x: F.rlike(t, x))
+        return signs | in_danger(F.array_distinct(tx.tokens(t))) | (F.coalesce(flag, F.lit(False)) & ~t.rlike(COMMON_INJURY))
+
+    return F.coalesce(tx.once(F.regexp_replace(F.replace(tx.normalize(text), F.lit("'"), F.lit(" ")), " +", " "), of), F.lit(False))
+
+
+def glossary(text: Column) -> Column:
+    """Whether a text is a page of word definitions: it has matches of DEFINITION six times or more."""
+    return F.coalesce(F.regexp_count(text, F.lit(DEFINITION + "(?![A-Za-z0-9_])")) >= DEFINITIONS, F.lit(False))
+
+
 def title_relation(title: Column, term: str) -> Column:
     """How a title relates to a normalised term: exact, commence (at most one more word), specialise, aucun."""
 
@@ -98,6 +133,14 @@ def same_word(a: Column, b: Column) -> Column:
     return (a == b) | ((n >= 4) & b.startswith(a)) | ((m >= 4) & a.startswith(b)) | ((n >= 5) & (m >= 5) & (F.left(a, F.lit(4)) == F.left(b, F.lit(4))))
 
 
+def term_of_question(term: Column, words: Column, asked: Column) -> Column:
+    """A term that a model proposes, trimmed, if it has the shape of one and each of its useful ``words`` (one at least) is the same
+    word as one ``asked``; else null."""
+    plain = F.trim(F.coalesce(term, F.lit("")))
+    backed = (F.size(words) > 0) & F.forall(words, lambda w: F.exists(asked, lambda a: same_word(a, w)))
+    return F.when(plain.rlike(TERM) & backed, plain)
+
+
 def positions(text: Column) -> Column:
     """For each character of the normalised text, the position from 0 of the character of text that it comes from."""
     each = F.transform(F.split(text, ""), lambda c, i: F.array_repeat(i, F.when(c.isin(list(tx.LIGATURES)), 2).when(c.rlike("^\\p{M}$"), 0).otherwise(1)))
