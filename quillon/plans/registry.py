@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillon.plans import catalogue_queries, content_queries, event_queries, index_queries, library_queries, presentation_queries, question_queries, rule_queries, search_queries, text_queries  # noqa: F401
+    from quillon.plans import catalogue_queries, content_queries, conversation_queries, event_queries, index_queries, library_queries, presentation_queries, question_queries, rule_queries, search_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
