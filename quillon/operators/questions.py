@@ -78,8 +78,9 @@ def prepared(known: DataFrame, text: str) -> DataFrame:
     question = F.coalesce(text, F.lit(""))
     covered = F.flatten(F.transform("search", lx.useful_words))
     own = F.filter(F.regexp_extract_all(question, F.lit(tx.WORD), F.lit(0)), lambda x: F.length(x) >= LONG)
-    rows = known.withColumn("_useful", F.array_except(lx.useful_words(question), covered)).withColumn("_own", F.array_distinct(own))
-    rows = rows.withColumn("_own", F.filter("_own", lambda x: F.array_contains("_useful", tx.normalize(x))))
+    both = F.struct(F.array_except(lx.useful_words(question), covered).alias("useful"), F.array_distinct(own).alias("own"))
+    typed = tx.once(both, lambda x: F.filter(x["own"], lambda w: F.array_contains(x["useful"], tx.normalize(w))))
+    rows = known.withColumn("_own", typed)
     placed = F.transform("_own", lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("w")))
     single = F.transform(F.sort_array(placed), lambda x: x["w"])
     searches = F.slice(F.concat(F.array(question), F.slice("search", 1, BY_TABLE), single), 1, SEARCHES)
