@@ -15,46 +15,52 @@ from pyspark.sql import functions as F
 
 
 WORD = re.compile("[^\\W\\d_]+").findall
-#: N-grams by word that a Python worker keeps at most.
-KEEP = 200_000
-
-
-class Grams:
-    """64-bit numbers of the n-grams of a word, kept for words seen before."""
-
-    def __init__(self, longest: int = 5):
-        self.longest, self.kept = longest, {}
-
-    def of(self, word: str) -> np.ndarray:
-        import xxhash
-
-        found = self.kept.get(word)
-        if found is None:
-            if len(self.kept) > KEEP:
-                self.kept.clear()
-            padded = f" {word} "
-            n = len(padded)
-            found = np.array([xxhash.xxh64_intdigest(padded[i : i + k]) for k in range(1, self.longest + 1) for i in range(n - k + 1) if k > 1 or 0 < i < n - 1], np.uint64)
-            if len(word) < 64:
-                self.kept[word] = found
-        return found
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a text and how often each occurs."""
-        seen: dict[str, int] = {}
-        for word in WORD(text.lower()):
-            seen[word] = seen.get(word, 0) + 1
-        for word in [x for x in seen if not x.isalpha()]:  # numeric marks are no letters
-            n = seen.pop(word)
-            for part in "".join(c if c.isalpha() else " " for c in word).split():
-                seen[part] = seen.get(part, 0) + n
-        if not seen:
-            return np.array([], np.uint64), np.array([], np.int64)
-        parts = [self.of(x) for x in seen]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        weights = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes)
-        return grams, np.bincount(at, weights).astype(np.int64)
+#: Odd multiplier of the n-grams' numbers, characters of a text counted at a time.
+ODD, PIECE = np.uint64(0x9E3779B97F4A7C15), 1 << 20
+
+
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order and the sums of their counts."""
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    return grams[first], np.add.reduceat(counts[order], first)
+
+
+def _counted(text: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of words with one blank before, between and after them, and how often each occurs."""
+    at = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    letter = at != 32
+    # an n-gram lies within a word and the blanks beside it: none but its first and last character may be a blank
+    gram, inner, found = np.zeros(len(at), np.uint64), np.ones(len(at), bool), []
+    for k in range(1, longest + 1):
+        n = len(at) - k + 1
+        if n < 1:
+            break
+        gram = (gram[:n] + at[k - 1 :]) * ODD
+        gram ^= gram >> np.uint64(29)
+        if k > 2:
+            inner = inner[:n] & letter[k - 2 : len(at) - 1]
+        found.append(gram[letter] if k == 1 else gram[inner[:n]])
+    grams = np.sort(np.concatenate(found))
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    return grams[first], np.diff(first, append=len(grams))
+
+
+def count(text: str, longest: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of a text's distinct n-grams and how often each occurs."""
+    text = " ".join(WORD(text.lower()))
+    if not text.replace(" ", "").isalpha():  # numeric marks are no letters
+        text = " ".join("".join(c if c.isalpha() else " " for c in text).split())
+    found, start = [], 0
+    while start < len(text):
+        end = text.find(" ", start + PIECE) if len(text) - start > PIECE else -1
+        end = len(text) if end < 0 else end
+        found.append(_counted(f" {text[start:end]} ", longest))
+        start = end + 1
+    if not found:
+        return np.array([], np.uint64), np.array([], np.int64)
+    return found[0] if len(found) == 1 else _summed(*map(np.concatenate, zip(*found, strict=True)))
 
 
 def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -74,17 +80,17 @@ def profiles(docs: DataFrame, size: int = 400, sample: int = 4000) -> dict[str,
     Counting runs on the executors; to the driver come ``size`` numbers a language, for every language that occurs."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
     totals = rows.groupBy("lang").count()
-    rows = rows.join(totals, "lang")
+    rows = rows.join(F.broadcast(totals), "lang")  # a row a language: texts stay where they are read
     rows = rows.where(F.expr(f"pmod(xxhash64(11, doc_id), 1000000007) * cast(count as double) < {sample} * 1000000007.0D"))
 
     def run(batches):
         import pyarrow as pa
 
-        grams, sums = Grams(), {}
+        sums = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in grams.count(text)), strict=True):
+                for g, n in zip(*(x.tolist() for x in count(text)), strict=True):
                     own[g] = own.get(g, 0) + n
             for lang, own in sums.items():
                 if len(own) > 200_000:
@@ -111,28 +117,29 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], size: int = 400) -> D
 
     ``und`` with score 0: null text, a text without a letter, or no known language. Ties go to the first language by name."""
     names = sorted(known)
-    orders = [np.argsort(known[x], kind="stable") for x in names]
-    ordered = [known[x][o] for x, o in zip(names, orders, strict=True)]
+    # the n-grams of all profiles, and for each language its rank of them, -1 if it lacks one; the last row stands for all other n-grams
+    union = np.unique(np.concatenate([known[x] for x in names])) if names else np.array([], np.uint64)
+    ranks = np.full((len(union) + 1, len(names)), -1, np.int32)
+    for k, x in enumerate(names):
+        ranks[np.searchsorted(union, known[x]), k] = np.arange(len(known[x]))
 
-    def distance(mine: np.ndarray, k: int) -> int:
-        at = np.minimum(np.searchsorted(ordered[k], mine), len(ordered[k]) - 1)
-        there = ordered[k][at] == mine
-        ranks = np.where(there, np.abs(orders[k][at] - np.arange(len(mine))), size)
-        return int(ranks.sum())
+    def distances(mine: np.ndarray) -> list[int]:
+        at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+        theirs = ranks[np.where(union[at] == mine, at, len(union))]
+        return np.where(theirs >= 0, np.abs(theirs - np.arange(len(mine), dtype=np.int32)[:, None]), size).sum(0, dtype=np.int64).tolist()
 
     def run(batches):
         import pyarrow as pa
 
-        grams = Grams()
         for batch in batches:
             guesses, scores = [], []
             for text in batch.column(1).to_pylist():
-                mine = top(*grams.count(text or ""), size)
+                mine = top(*count(text or ""), size)
                 if not len(mine) or not names:
                     guesses.append("und")
                     scores.append(0.0)
                     continue
-                far = [distance(mine, k) for k in range(len(names))]
+                far = distances(mine)
                 first = min(range(len(names)), key=far.__getitem__)
                 second = min((far[k] for k in range(len(names)) if k != first), default=size * len(mine))
                 guesses.append(names[first])
