@@ -6,8 +6,9 @@ differ in at most t_i bits of some partition i. A dynamic programme picks the th
 send and candidates to verify. A threshold t becomes keys by halves: every row sends the values within ceil(t/2) flips, each once,
 so two values within t meet at some key.
 
-Candidates of a key are verified, but not all pairs of it: first every member is held against the key's smallest one, which
-joins most of a large group of near copies; then only pairs between different components of a key are compared.
+Candidates of a key are verified where they meet: every member is held against the key's smallest one, which joins most of a large
+group of near copies, and in a group of at most SMALL members, as chance makes them, all others against each other; only near pairs
+leave. Of a larger group its members leave, and then only pairs between different components of the key are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import components, free, release, stage
 
-BITS = 64
+#: Bits of a fingerprint; members of a key of which all pairs are compared at once.
+BITS, SMALL = 64, 16
 
 
 def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -158,6 +160,72 @@ def keyed(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> Da
     return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long")
 
 
+def met(rows: DataFrame, distance: int) -> DataFrame:
+    """(key, node, fp, other, led) from rows (key, node, fp) that stand by key and node: near pairs (node, other) with a null key, led if other
+    is the key's smallest node; and the members of the keys with more than SMALL of them, once each, without other."""
+    limit = np.uint8(distance)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def made(key, node, fp, other, led, pairs: bool):
+            n = len(node)
+            none = np.ones(n, bool)
+            cells = [pa.array(key, pa.int64(), mask=none if pairs else None), pa.array(node), pa.array(fp), pa.array(other, pa.int64(), mask=None if pairs else none), pa.array(led)]
+            return pa.RecordBatch.from_arrays(cells, ["key", "node", "fp", "other", "led"])
+
+        def large(lead, key, node, fp):
+            """Rows of one large key, and those of them that are near its smallest one."""
+            near = (np.bitwise_count((fp ^ lead[2]).view(np.uint64)) <= limit) & (node != lead[1])
+            yield made(key, node, fp, node, np.zeros(len(node), bool), False)
+            if near.any():
+                n = int(near.sum())
+                yield made(key[near], node[near], fp[near], np.full(n, lead[1]), np.ones(n, bool), True)
+
+        def whole(key, node, fp):
+            """Keys all of whose rows are here."""
+            if not len(key):
+                return
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(first, append=len(key))
+            big = sizes > SMALL
+            for a, n in zip(first[big].tolist(), sizes[big].tolist(), strict=True):
+                yield from large((key[a], node[a], fp[a]), *(x[a : a + n] for x in (key, node, fp)))
+            keep = np.repeat(~big & (sizes > 1), sizes)
+            key, node, fp = key[keep], node[keep], fp[keep]
+            led = np.append(True, key[1:] != key[:-1])[: len(key)]
+            for step in range(1, min(SMALL, len(key))):
+                same = key[step:] == key[:-step]
+                if not same.any():
+                    break
+                near = np.flatnonzero(same & (np.bitwise_count((fp[step:] ^ fp[:-step]).view(np.uint64)) <= limit) & (node[step:] != node[:-step]))
+                if len(near):
+                    yield made(key[near], node[near + step], fp[near + step], node[near], led[near], True)
+
+        held, lead = tuple(np.array([], np.int64) for _ in range(3)), None
+        for batch in batches:
+            now = tuple(np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, batch.columns, strict=True))
+            if lead is not None:
+                n = int(np.searchsorted(now[0], lead[0], "right"))
+                if n:
+                    yield from large(lead, *(x[:n] for x in now))
+                now = tuple(x[n:] for x in now)
+            if not len(now[0]):
+                held = now
+                continue
+            lead, last = None, int(np.searchsorted(now[0], now[0][-1], "left"))
+            yield from whole(*(x[:last] for x in now))
+            held = tuple(x[last:] for x in now)
+            if len(held[0]) > SMALL:  # a large key's other rows need only its smallest node
+                lead = tuple(x[0] for x in held)
+                yield from large(lead, *held)
+                held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield from whole(*held)
+
+    return rows.mapInArrow(run, "key long, node long, fp long, other long, led boolean")
+
+
 def linked(nodes: DataFrame, distance: int = 4, parts: int | None = None, known: DataFrame | None = None, verify=None) -> DataFrame:
     """(x, y): links that connect the nodes (node, fp) whose fingerprints differ in at most ``distance`` bits; not every link, but all components.
 
@@ -166,32 +234,34 @@ def linked(nodes: DataFrame, distance: int = 4, parts: int | None = None, known:
     n, counts = bit_counts(nodes)
     groups, given = best_parts(n, counts, distance) if parts is None else ((g := arrange(n, counts, parts)), allocate(n, counts, g, distance)[0])
     w = Window.partitionBy("key")
-    met = keyed(nodes, groups, given)
-    own = F.struct("node", "fp")
-    met = met.withColumns({"lead": F.min(own).over(w), "last": F.max("node").over(w)}).where("lead.node < last")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= distance) & (F.col("node") != F.col("lead.node"))
-    met = stage(met.select("key", "node", "fp", F.when(near, F.col("lead.node")).alias("lead")), "met")
-    links = met.where("lead is not null").select(F.col("node").alias("x"), F.col("lead").alias("y")).distinct()
+    shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stage(met(keyed(nodes, groups, given).repartition(shuffles, "key").sortWithinPartitions("key", "node"), distance), "met")
+    pair = found.where("key is null").select(F.col("node").alias("x"), F.col("other").alias("y"), "led").groupBy("x", "y").agg(F.max("led").alias("led"))
+    pair = stage(pair, "near")
+    links = pair.where("led").select("x", "y")
+
+    def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs (x, y) of different labels, with these as lx and ly."""
+        pairs = pairs.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
+        return pairs.select("x", "y", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly")).where("lx <> ly")
+
     if known is not None:  # pairs of a component need no other link
         labels = stage(components(known, "x", "y"), "labels")
-        links = links.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
-        links = links.where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+        links = between(links, labels).select("x", "y")
     links = stage(verify(links) if verify else links, "links")
     if known is not None:
         links = links.union(known)
-    first = components(links, "x", "y")
-    own = met.join(first, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")).distinct()
+    first = stage(components(links, "x", "y"), "first")
+    own = found.where("key is not null").select("key", "node", "fp").join(first, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")).distinct()
     own = own.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).where("low < high")
     own = stage(own.select("key", "node", "fp", "label"), "mixed")
-    release(met)
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance))
-    if verify:
-        more = verify(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
-    else:
-        more = pairs.select(F.col("a.label").alias("x"), F.col("b.label").alias("y")).distinct()
+    pairs = pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.label").alias("lx"), F.col("b.label").alias("ly"))
+    pairs = pairs.union(between(pair.where("not led").select("x", "y"), first))
+    more = verify(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()) if verify else pairs.select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
     more = stage(more, "links")
-    release(own)
+    release(own, found, pair)
     return first.select(F.col("node").alias("x"), F.col("label").alias("y")).where("x <> y").union(more)
 
 
