@@ -8,7 +8,8 @@ so two values within t meet at some key.
 
 Candidates of a key are verified where they meet: every member is held against the key's smallest one, which joins most of a large
 group of near copies, and in a group of at most SMALL members, as chance makes them, all others against each other; only near pairs
-leave. Of a larger group its members leave, and then only pairs between different components of the key are compared.
+leave. Of a larger group, or one with more than DENSE near pairs a member, the members leave, and then only pairs between different
+components of the key are compared.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import components, free, release, stage
 
-#: Bits of a fingerprint; members of a key of which all pairs are compared at once.
-BITS, SMALL = 64, 16
+#: Bits of a fingerprint; members of a key of which all pairs are compared at once; near pairs a member that leave such a key; pairs that cost as much as a key sent.
+BITS, SMALL, DENSE, PAIRS = 64, 4096, 4, 100
 
 
 def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -116,7 +117,7 @@ def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int)
         for q in 2 * p[part] * (1 - p[part]):
             near[1:] = near[1:] * (1 - q) + near[:-1] * q
             near[0] *= 1 - q
-        cost.append([0.0] + [n * keys_of(len(part), t) + n * n / 2 * near[: t + 1].sum() for t in range(distance + 1)])
+        cost.append([0.0] + [n * keys_of(len(part), t) + n * n / 2 * near[: t + 1].sum() / PAIRS for t in range(distance + 1)])
     best = {0: (0.0, [])}
     for own in cost:
         step = {}
@@ -128,7 +129,7 @@ def allocate(n: int, counts: np.ndarray, parts: list[list[int]], distance: int)
     return best[distance + 1][1], best[distance + 1][0]
 
 
-def best_parts(n: int, counts: np.ndarray, distance: int, most: int = 6) -> tuple[list[list[int]], list[int]]:
+def best_parts(n: int, counts: np.ndarray, distance: int, most: int = 7) -> tuple[list[list[int]], list[int]]:
     """Partitions and thresholds of least estimated work, over the numbers of partitions."""
     options = [(groups, *allocate(n, counts, groups, distance)) for groups in (arrange(n, counts, k) for k in range(2, most + 1))]
     groups, given, _ = min(options, key=lambda x: x[2])
@@ -162,7 +163,7 @@ def keyed(nodes: DataFrame, parts: list[list[int]], thresholds: list[int]) -> Da
 
 def met(rows: DataFrame, distance: int) -> DataFrame:
     """(key, node, fp, other, led) from rows (key, node, fp) that stand by key and node: near pairs (node, other) with a null key, led if other
-    is the key's smallest node; and the members of the keys with more than SMALL of them, once each, without other."""
+    is the key's smallest node; and the members of the keys with more than SMALL of them or with many near pairs, once each, without other."""
     limit = np.uint8(distance)
 
     def run(batches):
@@ -191,16 +192,31 @@ def met(rows: DataFrame, distance: int) -> DataFrame:
             big = sizes > SMALL
             for a, n in zip(first[big].tolist(), sizes[big].tolist(), strict=True):
                 yield from large((key[a], node[a], fp[a]), *(x[a : a + n] for x in (key, node, fp)))
-            keep = np.repeat(~big & (sizes > 1), sizes)
-            key, node, fp = key[keep], node[keep], fp[keep]
-            led = np.append(True, key[1:] != key[:-1])[: len(key)]
-            for step in range(1, min(SMALL, len(key))):
-                same = key[step:] == key[:-step]
-                if not same.any():
-                    break
-                near = np.flatnonzero(same & (np.bitwise_count((fp[step:] ^ fp[:-step]).view(np.uint64)) <= limit) & (node[step:] != node[:-step]))
-                if len(near):
-                    yield made(key[near], node[near + step], fp[near + step], node[near], led[near], True)
+            key, node, fp = (x[np.repeat(~big & (sizes > 1), sizes)] for x in (key, node, fp))
+            sizes = sizes[~big & (sizes > 1)]
+            if not len(key):
+                return
+            starts, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            at, pairs, n_near = np.arange(len(key)), [], np.zeros(len(sizes), np.int64)
+            for step in range(1, int(sizes.max())):
+                if step & (step - 1) == 0:  # members that have one so far behind them, of keys that are not dense
+                    at = at[(sizes[group[at]] > step) & (n_near[group[at]] <= DENSE * sizes[group[at]])]
+                one = at[at + step < (starts + sizes)[group[at]]]
+                two = one + step
+                near = (np.bitwise_count((fp[one] ^ fp[two]).view(np.uint64)) <= limit) & (node[one] != node[two])
+                if near.any():
+                    one, two = one[near], two[near]
+                    n_near += np.bincount(group[one], minlength=len(sizes))
+                    pairs.append((one, two))
+            dense = n_near > DENSE * sizes
+            for g in np.flatnonzero(dense).tolist():
+                a, n = int(starts[g]), int(sizes[g])
+                yield from large((key[a], node[a], fp[a]), *(x[a : a + n] for x in (key, node, fp)))
+            if pairs:
+                one, two = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                keep = ~dense[group[one]]
+                one, two = one[keep], two[keep]
+                yield made(key[one], node[two], fp[two], node[one], one == starts[group[one]], True)
 
         held, lead = tuple(np.array([], np.int64) for _ in range(3)), None
         for batch in batches:
