@@ -58,15 +58,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    at_once: rows that a task holds at most while it writes or reads, for tables with rows of megabytes; by default a row group of
+    Parquet, which has at least 100 rows.
+
     The shuffle files of the job that wrote it are released at its end; release() deletes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     spark.conf.set(CLEANUP, "true")  # for all later jobs of the session: results are in tables, so no shuffle is read twice
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.row.count.limit", str(at_once)) if at_once else df.write
+    writer.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._quillon_path = path
     return found

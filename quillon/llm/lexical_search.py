@@ -21,6 +21,8 @@ from quillon.llm.terms import byte_words, duck_words
 
 #: Postings of a block of documents, term places of a block of items, bytes of items that may be broadcast, candidates held in a task.
 POSTINGS, PLACES, BROADCAST, HELD = 1 << 17, 1 << 18, 8 << 20, 1 << 20
+#: Blocks that a task holds while their table is written or read.
+AT_ONCE = 4
 BLOCK = "docs array<long>, lens array<long>, terms array<string>, ptr array<int>, doc array<int>, tf array<int>"
 
 
@@ -159,7 +161,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
     """
     spark = docs.sparkSession
     with arrow_bytes(spark):
-        index = stage(blocks(docs, key, text), "blocks")
+        index = stage(blocks(docs, key, text), "blocks", AT_ONCE)
     asked = stage(item_terms(items, item_key, text, repeats), "items")
     n_blocks, n_docs, n_terms = index.select(F.size(F.filter("lens", lambda x: x > 0)).alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("l"), F.lit(0))).first()
     places, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))).first()
