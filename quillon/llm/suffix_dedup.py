@@ -6,15 +6,12 @@ run of neighbouring windows with the same one is a segment, and equal windows an
 two documents are found first, on numbers alone; then the segments under such a hash meet in one place. Equal segments settle by
 their smallest doc_id. The distinct segments of a hash are sorted into a suffix array, where equal windows stand next to each other.
 
-The suffix array is built by linear grouping: suffixes start in groups by their first symbol; groups are taken in descending
-order, and by previous-smaller pointers each group moves the suffixes before it into groups of their own, until a group holds
-the suffixes with the same Lyndon prefix; then each group's order is emitted along the pointers, without renaming and recursion.
+The suffix array is built by prefix doubling on whole arrays: suffixes are ranked by a few symbols packed into one number, then by pairs
+of ranks, until the wanted depth or until all differ. Only windows are compared here, so the depth is ``length``.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,80 +19,42 @@ from pyspark.sql import functions as F
 from quillon.llm.common import stage
 
 #: Bytes of one k-gram, of segments sorted at a time, and of one hash's segments beyond which they are sorted in portions.
-GRAM, BATCH, PORTION = 20, 1 << 9, 1 << 22
+GRAM, BATCH, PORTION = 20, 1 << 17, 1 << 22
 
 
-def suffix_array(text: list[int]) -> list[int]:
-    """Starts of the suffixes in ascending order; the last symbol must be smaller than all others and occur once."""
+def ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in ascending order of their first ``depth`` symbols, rank of each suffix): equal ranks where those symbols are equal.
+
+    Symbols are not negative; a suffix comes after a shorter one that it begins with."""
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    group, size, at, before = [0] * n, [0] * n, [0] * n, [-1] * n
-    start = 0
-    for k, s in enumerate(order):
-        if k and text[s] != text[order[k - 1]]:
-            start = k
-        group[s], at[s] = start, k
-        size[start] += 1
-    # first phase: groups in descending order
-    end = n - 1
-    while end >= 0:
-        start = group[order[end]]
-        if start == end:  # most groups hold one suffix
-            s = order[end]
-            p = s - 1
-            while p >= 0 and group[p] >= start:
-                p = before[p]
-            before[s] = p
-            if p >= 0:
-                g = group[p]
-                size[g] -= 1
-                last = g + size[g]
-                if last != g:
-                    other, k = order[last], at[p]
-                    order[k], order[last], at[other], at[p] = other, p, k, last
-                    group[p] = last
-                size[last] += 1
-            end -= 1
-            continue
-        pointers: dict[int, int] = {}
-        for s in sorted(order[start : end + 1]):
-            p = s - 1
-            while p >= 0 and group[p] >= start:
-                p = before[p]
-            before[s] = p
-            if p >= 0:
-                pointers[p] = pointers.get(p, 0) + 1
-        if pointers:
-            by_count: dict[int, list[int]] = {}
-            for p, c in pointers.items():
-                by_count.setdefault(c, []).append(p)
-            for c in sorted(by_count, reverse=True):
-                moved = by_count[c]
-                for p in moved:
-                    g = group[p]
-                    size[g] -= 1
-                    last = g + size[g]
-                    other, k = order[last], at[p]
-                    order[k], order[last], at[other], at[p] = other, p, k, last
-                # a group that was moved whole keeps its start, so all new starts are taken before any size changes
-                for p, g in [(p, group[p] + size[group[p]]) for p in moved]:
-                    group[p] = g
-                    size[g] += 1
-        end = start - 1
-    # second phase: each group's order
-    out, free, placed = [0] * n, list(range(n)), [False] * n
-    out[0] = n - 1
-    placed[n - 1] = True
-    free[group[n - 1]] += 1
-    for k in range(n):
-        s = out[k] - 1
-        while s >= 0 and not placed[s]:
-            g = group[s]
-            out[free[g]] = s
-            free[g] += 1
-            placed[s] = True
-            s = before[s]
-    return out
+    bits = int(text.max(initial=0) + 1).bit_length()
+    have = min(depth, max(1, 62 // bits))
+    own = np.zeros(n + have, np.int64)
+    own[:n] = text
+    own[:n] += 1
+    key = own[:n].copy()
+    for k in range(1, have):
+        key <<= bits
+        key |= own[k : n + k]
+    while True:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        step = np.empty(n, np.int64)
+        step[:1] = 0
+        np.cumsum(sorted_[1:] != sorted_[:-1], out=step[1:])
+        rank = np.empty(n, np.int64)
+        rank[order] = step
+        if have >= depth or n == 0 or step[-1] == n - 1:
+            return order, rank
+        more = min(have, depth - have)
+        key = rank * (n + 1)
+        key[: max(0, n - more)] += rank[more:] + 1
+        have += more
+
+
+def suffix_array(text: list[int]) -> list[int]:
+    """Starts of the suffixes in ascending order."""
+    return ranks(np.asarray(text, np.int64), len(text))[0].tolist()
 
 
 def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,64 +117,95 @@ MIX = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all segments, number of each byte's segment, whether a window starts there that ends in the segment)."""
+    sizes = np.array([len(x) for x in segments], np.int64)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))
+    return np.frombuffer(b"".join(segments), np.uint8), owner, left >= length
+
+
+def _later(order: np.ndarray, rank: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Of the windows in order, equal ones side by side and of equal rank, those whose doc is not the smallest of the equal ones."""
+    own = rank[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    least = np.minimum.reduceat(docs[order], first)
+    return order[docs[order] > np.repeat(least, np.diff(np.append(first, len(own))))]
+
+
 def earliest(segments: list[bytes], docs: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each segment, with the smallest doc that has it whole, the ranges (first, last) of windows that also start in a segment of a smaller doc."""
-    text, spot, begin = [], [], []
-    for k, x in enumerate(segments):
-        begin.append(len(text))
-        text += [b + 2 for b in x]
-        text.append(1)
-        spot.append(k)
-    text.append(0)
-    owner = np.repeat(np.arange(len(segments)), [len(x) + 1 for x in segments]).tolist()
-    found: list[list[int]] = [[] for _ in segments]
-    held: list[tuple[int, int]] = []
-    last = b""
-
-    def close() -> None:
-        if len(held) > 1:
-            least = min(docs[k] for k, _ in held)
-            for k, o in held:
-                if docs[k] > least:
-                    found[k].append(o)
-
-    for s in suffix_array(text):
-        if s >= len(owner):
-            continue
-        k = owner[s]
-        o = s - begin[k]
-        if o + length > len(segments[k]):
-            continue
-        window = segments[k][o : o + length]
-        if window != last:
-            close()
-            held, last = [], window
-        held.append((k, o))
-    close()
-    out = []
-    for own in found:
-        ranges: list[tuple[int, int]] = []
-        for o in sorted(set(own)):
-            if ranges and o == ranges[-1][1] + 1:
-                ranges[-1] = (ranges[-1][0], o)
-            else:
-                ranges.append((o, o))
-        out.append(ranges)
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    text, owner, whole = _windows(segments, length)
+    if not whole.any():
+        return out
+    order, rank = ranks(text, length)
+    found = np.sort(_later(order[whole[order]], rank, np.array(docs, np.int64)[owner]))
+    if not len(found):
+        return out
+    # the last window of a segment and the first of the next are not neighbours, as a window is longer than a byte
+    cuts = np.flatnonzero(np.diff(found) != 1) + 1
+    first, last = found[np.append(0, cuts)], found[np.append(cuts, len(found)) - 1]
+    begin = np.cumsum([0, *map(len, segments)])
+    segment = owner[first]
+    for k, a, b in zip(segment.tolist(), (first - begin[segment]).tolist(), (last - begin[segment]).tolist(), strict=True):
+        out[k].append((a, b))
     return out
 
 
+def _window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place on; the last ones have no whole window."""
+    power = np.full(len(text) + 1, ODD)
+    power[0] = 1
+    back = np.full(len(text) + 1, np.uint64(pow(int(ODD), -1, 1 << 64)))
+    back[0] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(MIX[text] * np.cumprod(power)[:-1], dtype=np.uint64)])
+    h = (total[length:] - total[:-length]) * np.cumprod(back)[: len(total) - length]
+    h ^= h >> np.uint64(32)
+    h *= ODD
+    h ^= h >> np.uint64(29)
+    return np.concatenate([h, np.zeros(length - 1, np.uint64)])
+
+
 def in_portions(segments: list[bytes], docs: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """earliest() for segments of any total size: beyond PORTION bytes the windows are dealt by hash, and sorted one lot at a time."""
-    total = sum(map(len, segments))
-    if total <= PORTION:
+    """earliest() for segments of any total size: beyond PORTION bytes the windows whose hash occurs twice are dealt by it, and sorted one lot at a time."""
+    if sum(map(len, segments)) <= PORTION:
         return earliest(segments, docs, length)
-    lots = total * length // PORTION + 1
+    text, owner, whole = _windows(segments, length)
+    at = np.flatnonzero(whole)
+    hashes = _window_hashes(text, length)[at]
+    order = np.argsort(hashes)
+    at, hashes = at[order], hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    twice = np.append(same, False) | np.append(False, same)
+    at, hashes = at[twice], hashes[twice]
+    begin = np.cumsum([0, *map(len, segments)])
+    ids = np.array(docs, np.int64)
     found: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for lot in range(lots):
-        own = [(k, o) for k, x in enumerate(segments) for o in range(len(x) - length + 1) if int.from_bytes(hashlib.blake2b(x[o : o + length], digest_size=8).digest(), "little") % lots == lot]
-        for (k, o), ranges in zip(own, earliest([segments[k][o : o + length] for k, o in own], [docs[k] for k, _ in own], length), strict=True):
-            found[k] += [(o + a, o + b) for a, b in ranges]
-    return found
+    step = max(2, PORTION // length)
+    start = 0
+    while start < len(at):
+        # a lot ends where a hash does
+        end = int(np.searchsorted(hashes, hashes[min(start + step, len(at)) - 1], "right"))
+        own = at[start:end]
+        start = end
+        windows = [text[o : o + length].tobytes() for o in own.tolist()]
+        for o, ranges in zip(own.tolist(), earliest(windows, ids[owner[own]].tolist(), length), strict=True):
+            if ranges:
+                k = int(owner[o])
+                found[k].append((o - int(begin[k]), o - int(begin[k])))
+    return [_joined(x) for x in found]
+
+
+def _joined(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, neighbours as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _resolve(length: int):

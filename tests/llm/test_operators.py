@@ -246,6 +246,36 @@ def test_suffix_dedup(spark, sf, docs, none, monkeypatch):
     assert [{x for a, b in r for x in range(a, b + 1)} for r in whole] == [{x for a, b in r for x in range(a, b + 1)} for r in spread] == [set(range(21)), set()]
 
 
+def test_suffix_array_of_windows_is_quick():
+    """Sorting a megabyte of segments, once built symbol by symbol, takes array time; and one hash beyond PORTION is not hashed anew for each lot."""
+    import time
+
+    rng = random.Random(3)
+    segments = [bytes(rng.choices(b"abcd", k=70)) for _ in range(7000)]
+    segments += [x[:60] + b"tail" * 3 for x in segments]
+    ids = list(range(len(segments), 0, -1))
+    began = time.process_time()
+    found = suffix_dedup.earliest(segments, ids, 50)
+    assert time.process_time() - began < 4
+    assert found[:7000] == [[(0, 10)]] * 7000 and found[7000:] == [[]] * 7000
+
+
+def test_portions_equal_the_whole(monkeypatch):
+    rng = random.Random(4)
+    base = [bytes(rng.choices(b"ab", k=60)) for _ in range(40)]
+    segments = list(dict.fromkeys(rng.choice(base)[: rng.randint(50, 60)] + bytes(rng.choices(b"ab", k=rng.randint(0, 60))) for _ in range(400)))
+    ids = [rng.randint(1, 300) for _ in segments]
+    whole = suffix_dedup.in_portions(segments, ids, 50)
+    least = {}
+    for x, d in zip(segments, ids, strict=True):
+        for o in range(len(x) - 49):
+            least[x[o : o + 50]] = min(d, least.get(x[o : o + 50], d))
+    plain = [[o for o in range(len(x) - 49) if least[x[o : o + 50]] < d] for x, d in zip(segments, ids, strict=True)]
+    assert [[o for a, b in r for o in range(a, b + 1)] for r in whole] == plain
+    monkeypatch.setattr(suffix_dedup, "PORTION", 500)
+    assert suffix_dedup.in_portions(segments, ids, 50) == whole
+
+
 def test_query_suffix(spark, sf):
     want = brute.spans(pairs(documents(spark, sf)))
     for r in registry.op6_suffix_dedup(spark, sf).collect():
