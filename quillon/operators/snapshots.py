@@ -136,6 +136,11 @@ class Change:
         old = self.tables.get(name, {"parts": []})["parts"]
         self.tables[name] = {"schema": df.schema.jsonValue(), "parts": [*old, self._write(df, by)]}
 
+    def drop(self, name: str) -> None:
+        """Take a table out that this change has put, with its folder; for what only the change itself reads."""
+        for part in self.tables.pop(name)["parts"]:
+            self.store._root.delete(self.store._at("data", part), True)
+
     def __enter__(self) -> Change:
         return self
 
