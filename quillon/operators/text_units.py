@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.session import ship, spread
+from quillon.session import ship
 from quillon.sources import extract
 
 HEADING = r"^[\p{Lu}\p{N}].*"
@@ -80,8 +80,10 @@ def packed_chunks(lines: DataFrame, target: int = 400, key: str = "doc_id") -> D
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): the inverted index. A word of a document is one row before the shuffle's second half."""
-    words = spread(docs.select(key, text)).select(key, F.explode(tx.tokens(tx.normalize(F.col(text)))).alias("term"))
+    """(key, term, tf): the inverted index. Texts are dealt by key, four tasks for each of the scan's, so words are counted where they are
+    and what is grouped by key afterwards needs no other shuffle."""
+    tasks = max(4 * docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    words = docs.select(key, text).repartition(tasks, key).select(key, F.explode(tx.tokens(tx.normalize(F.col(text)))).alias("term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
