@@ -14,9 +14,17 @@ def diff(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
+def dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """df dealt by key over ``tasks`` where the session's shuffles would have fewer, so that a join's task grows no larger with the tables."""
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def replace_children(old: DataFrame, new: DataFrame, touched: DataFrame, key: str) -> DataFrame:
-    """old without the rows of the parents in touched, and all rows of new: changed parents are replaced whole, deleted ones go."""
-    return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
+    """old without the rows of the parents in touched, and all rows of new: changed parents are replaced whole, deleted ones go.
+
+    The join has eight tasks for each of old's at least."""
+    tasks = 8 * old.rdd.getNumPartitions()
+    return dealt(old, key, tasks).join(dealt(touched.select(key), key, tasks).distinct(), key, "left_anti").unionByName(new)
 
 
 def positions(rows: DataFrame, *order) -> DataFrame:

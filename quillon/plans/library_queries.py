@@ -158,7 +158,8 @@ def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks after a pass: those of changed files (open orders) replaced whole by their new ones, those of deleted files (orders in part) gone."""
     lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), table(spark, sf_dir, "orders")
     keys = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    new = lines.where("l_linenumber <= 3").join(keys.where("o_orderstatus = 'O'").drop("o_orderstatus"), "l_orderkey").withColumn("l_quantity", F.col("l_quantity") + 1)
+    own = lambda df: tb.dealt(df, "l_orderkey", 8 * lines.rdd.getNumPartitions())
+    new = own(lines.where("l_linenumber <= 3")).join(own(keys.where("o_orderstatus = 'O'").drop("o_orderstatus")), "l_orderkey").withColumn("l_quantity", F.col("l_quantity") + 1)
     return tb.replace_children(lines, new, keys.where("o_orderstatus <> 'F'"), "l_orderkey")
 
 
