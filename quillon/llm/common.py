@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ class WordIds:
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[\W_]+")
     ODD = re.compile("[^\\x21-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u017e\\u2010-\\u2027]")
     #: Words and parts kept, bytes of a word, texts learnt at a time.
-    KEEP, LONG, LOT = 600_000, 256, 64
+    KEEP, LONG, LOT = 900_000, 256, 64
 
     def __init__(self, path: str):
         import json
@@ -187,8 +188,10 @@ class WordIds:
         import numpy as np
 
         for kept in (self.kept, self.parts):
-            if len(kept) > self.KEEP:
+            if len(kept) > self.KEEP:  # frequent words come early, so the first half stays
+                first = list(islice(kept.items(), self.KEEP // 2))
                 kept.clear()
+                kept.update(first)
         kept, parts = self.kept, self.parts
         whole = b" ".join(words).decode()
         if self.ODD.search(whole.replace(" ", "")) or any(x in whole for x in self.added):
