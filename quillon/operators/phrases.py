@@ -55,46 +55,51 @@ def keyword_strength(asked: DataFrame, key: str, text: str, articles: DataFrame,
 
 
 def starting(words: DataFrame, word: str, terms: DataFrame, term: str) -> DataFrame:
-    """(word, term) of distinct words and the terms that they begin: each distinct term stands under all its beginnings, as long as
-    some word is, and meets the words in an equi-join."""
+    """(word, term, other columns of terms) of distinct words and the terms that they begin: each term, distinct in its table, stands
+    under all its beginnings, as long as some word is, and meets the words in an equi-join."""
     words = words.select(F.col(word).alias("word")).distinct()
     longest = words.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
-    ends = F.when(F.least(F.length("term"), F.lit(longest)) >= 1, F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest))))
-    each = terms.select(F.col(term).alias("term")).distinct().withColumn("end", F.explode(ends))
-    return each.select("term", F.left("term", F.col("end")).alias("word")).join(words, "word").select("word", "term")
+    ends = F.when(F.least(F.length(term), F.lit(longest)) >= 1, F.sequence(F.lit(1), F.least(F.length(term), F.lit(longest))))
+    each = terms.withColumn("_end", F.explode(ends)).withColumn("word", F.left(term, F.col("_end")))
+    return each.join(words, "word").select("word", F.col(term).alias("term"), *[c for c in terms.columns if c != term])
 
 
 def section_search(asked: DataFrame, sections: DataFrame, strength: DataFrame, k: int = 5) -> DataFrame:
-    """(question, article, section, score, rank): the best section of each article for each question, k articles a question.
+    """(question, article, score, section, rank): the best section of each article for each question, k articles a question.
 
-    asked (question, words, phrase), sections (article, section, norm, titles: normalised texts), strength of keyword_strength() by
-    question. A section has every word of the question at the start of its own words or those of its titles, unless a complete keyword
-    speaks for its article. Score: 1000 or 3 for a complete or moderate keyword, each word's hits up to ten (or one in the
-    titles), 15 for the whole phrase, 5 for each word in the titles. Sections come from each question's rarest word; the other words are
-    looked up for these only.
+    asked (question, words, phrase), sections (article, section, norm, titles: normalised texts, one row for each section; read several
+    times), strength of keyword_strength() by question. A section has every word of the question at the start of its own words or those of its titles, unless
+    a complete keyword speaks for its article. Score: 1000 or 3 for a complete or moderate keyword, each word's hits up to ten (or one in
+    the titles), 15 for the whole phrase, 5 for each word in the titles. Sections come from each question's rarest word and meet their
+    texts once; there the question's other words are looked up, so no list of a common word is made.
     """
-    words = asked.select("question", F.size("words").alias("n"), F.explode("words").alias("word"))
-    own = lambda c, flag: sections.select("article", "section", F.explode(tx.tokens(F.col(c))).alias("term"), F.lit(flag).alias("titled"))
-    terms = own("norm", False).union(own("titles", True))
-    # the words' own terms, known from the distinct ones, are all that is grouped by section
-    pairs = kept(starting(words, "word", terms, "term"), "pairs")
-    held = terms.join(pairs, "term").groupBy("word", "article", "section").agg(F.least(F.count_if(~F.col("titled")), F.lit(10)).alias("hits"), F.max("titled").alias("titled"))
-    rare = held.groupBy("word").agg(F.count("*").alias("df"))
-    first = words.join(rare, "word", "left").groupBy("question").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
-    candidates = first.join(held, "word").select("question", "article", "section")
-    complete = strength.where("level = 'complete'").select("question", "article").join(sections.select("article", "section"), "article")
-    candidates = candidates.union(complete.select("question", "article", "section")).distinct()
-
-    met = candidates.join(words, "question").join(held, ["word", "article", "section"])
-    count = F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.col("titled").cast("long"))
-    met = met.groupBy("question", "article", "section").agg(F.count("*").alias("met"), F.sum(count).alias("hits"), F.count_if("titled").alias("titled"))
-    rows = candidates.join(met, ["question", "article", "section"], "left").fillna(0, ["met", "hits", "titled"])
-    rows = rows.join(asked.select("question", F.size("words").alias("n"), "phrase"), "question").join(strength.select("question", "article", "level"), ["question", "article"], "left")
-    rows = rows.where((F.col("met") == F.col("n")) | (F.col("level") == "complete")).join(sections.select("article", "section", "norm"), ["article", "section"])
-    base = F.when(F.col("level") == "complete", 1000).when(F.col("level") == "moderate", 3).otherwise(0)
+    strength = kept(strength.select("question", "article", "level"), "strength")
+    words = asked.select("question", F.explode("words").alias("word"))
+    terms = sections.select("article", "section", F.explode(tx.tokens(F.concat_ws(" ", "norm", "titles"))).alias("term"))
+    pairs = kept(starting(words, "word", terms.groupBy("term").agg(F.count("*").alias("n")), "term"), "pairs")
+    rare = pairs.groupBy("word").agg(F.sum("n").alias("n"))
+    first = words.join(rare, "word", "left").groupBy("question").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
+    entries = kept(first.join(pairs, "word").select("question", "term"), "entries")
+    complete = strength.where("level = 'complete'").join(sections.select("article", "section"), "article")
+    candidates = terms.join(entries, "term").select("question", "article", "section", F.lit(False).alias("complete"))
+    candidates = candidates.union(complete.select("question", "article", "section", F.lit(True))).groupBy("question", "article", "section").agg(F.max("complete").alias("complete"))
+
+    none = F.array().cast("array<string>")
+    own = asked.select("question", F.transform(F.coalesce("words", none), lambda w: F.nullif(w, F.lit(""))).alias("words"), "phrase")
+    rows = candidates.join(sections, ["article", "section"]).join(own, "question")
+    # a word that begins one of the section's stands in its text at least; most candidates go by that
+    inside = lambda w: F.coalesce(F.contains("norm", w), F.lit(False)) | F.coalesce(F.contains("titles", w), F.lit(False))
+    rows = rows.where(F.col("complete") | F.forall("words", inside))
+    begun = lambda of, w: F.size(F.filter(of, lambda x: F.startswith(x, w)))
+    count = lambda of: F.transform("words", lambda w: F.struct(F.least(begun(of[0], w), F.lit(10)).alias("hits"), (begun(of[1], w) > 0).cast("int").alias("titled")))
+    rows = rows.withColumn("held", tx.once(F.array(*[F.coalesce(tx.tokens(F.col(c)), none) for c in ("norm", "titles")]), count))
+    rows = rows.where(F.col("complete") | F.forall("held", lambda h: h["hits"] + h["titled"] > 0))
+    each = F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + F.when(h["hits"] > 0, h["hits"]).otherwise(h["titled"]) + 5 * h["titled"])
     whole = F.when(F.coalesce(F.contains("norm", F.col("phrase")), F.lit(False)), 15).otherwise(0)
-    scored = rows.select("question", "article", "section", (base + F.col("hits") + whole + 5 * F.col("titled")).alias("score"))
-    best = scored.groupBy("question", "article").agg(F.max_by(F.struct("score", "section"), F.struct(F.col("score"), -F.col("section"))).alias("x")).select("question", "article", "x.*")
+    scored = rows.select("question", "article", "section", (each + whole).alias("score"))
+    best = scored.groupBy("question", "article").agg(F.max_by(F.struct("score", "section"), F.struct(F.col("score"), -F.col("section"))).alias("x"))
+    base = F.when(F.col("level") == "complete", 1000).when(F.col("level") == "moderate", 3).otherwise(0)
+    best = best.join(strength, ["question", "article"], "left").select("question", "article", (base + F.col("x.score")).alias("score"), "x.section")
     order = Window.partitionBy("question").orderBy(F.desc("score"), "article")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -10,7 +10,7 @@ from quillon.functions import text as tx
 from quillon.operators import block_fold, html_clean, phrases
 from quillon.operators.text_units import format_blocks
 from quillon.plans.registry import query
-from quillon.session import spread, table
+from quillon.session import kept, spread, table
 from quillon.sources import extract
 
 W = "[\\p{L}\\p{N}]+"
@@ -127,11 +127,12 @@ SQL_SEARCH = f"""WITH doc AS (SELECT doc_id AS article, list_filter(string_split
 def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five articles for each benchmark item, each by its best section: documents are articles, their lines sections, their first words keywords."""
     docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("article"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("l"))
-    title = F.coalesce(F.left(F.get("l", F.lit(0)), F.lit(40)), F.lit(""))
+    title = tx.normalize(F.coalesce(F.left(F.get("l", F.lit(0)), F.lit(40)), F.lit("")))
     rows = docs.select("article", title.alias("title"), F.posexplode("l").alias("section", "line"))
-    titles = F.concat("title", F.lit(" "), F.array_join(F.slice(F.split("line", " "), 1, 2), " "))
-    sections = rows.select("article", "section", F.regexp_replace(tx.normalize(F.col("line")), " +", " ").alias("norm"), tx.normalize(titles).alias("titles"))
-    w = docs.where("size(l) > 0").select("article", tx.tokens(tx.normalize(F.get("l", F.lit(0)))).alias("w"))
+    titles = F.concat("title", F.lit(" "), tx.normalize(F.substring_index("line", " ", 2)))
+    sections = kept(rows.select("article", "section", F.regexp_replace(tx.normalize(F.col("line")), " +", " ").alias("norm"), titles.alias("titles")), "sections")
+    begin = F.regexp_extract("norm", f"^(?:[^\\p{{L}}\\p{{N}}]*{W}){{1,3}}", 0)  # three words at most
+    w = sections.where("section = 0").select("article", tx.tokens(begin).alias("w"))
     keys = w.select("article", F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 1, 3), " ")).alias("keywords"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
     strength = phrases.keyword_strength(items, "question", "text", keys, "article", "keywords")
