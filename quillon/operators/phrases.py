@@ -67,8 +67,8 @@ def starting(words: DataFrame, word: str, terms: DataFrame, term: str) -> DataFr
 def section_search(asked: DataFrame, sections: DataFrame, strength: DataFrame, k: int = 5) -> DataFrame:
     """(question, article, score, section, rank): the best section of each article for each question, k articles a question.
 
-    asked (question, words, phrase), sections (article, section, norm, titles: normalised texts, one row for each section; read several
-    times), strength of keyword_strength() by question. A section has every word of the question at the start of its own words or those of its titles, unless
+    asked (question, words, phrase), sections (article, section, norm, titles: normalised texts; read several times), strength of
+    keyword_strength() by question. A section has every word of the question at the start of its own words or those of its titles, unless
     a complete keyword speaks for its article. Score: 1000 or 3 for a complete or moderate keyword, each word's hits up to ten (or one in
     the titles), 15 for the whole phrase, 5 for each word in the titles. Sections come from each question's rarest word and meet their
     texts once; there the question's other words are looked up, so no list of a common word is made.
@@ -87,16 +87,16 @@ def section_search(asked: DataFrame, sections: DataFrame, strength: DataFrame, k
     none = F.array().cast("array<string>")
     own = asked.select("question", F.transform(F.coalesce("words", none), lambda w: F.nullif(w, F.lit(""))).alias("words"), "phrase")
     rows = candidates.join(sections, ["article", "section"]).join(own, "question")
-    # a word that begins one of the section's stands in its text at least; most candidates go by that
-    inside = lambda w: F.coalesce(F.contains("norm", w), F.lit(False)) | F.coalesce(F.contains("titles", w), F.lit(False))
-    rows = rows.where(F.col("complete") | F.forall("words", inside))
-    begun = lambda of, w: F.size(F.filter(of, lambda x: F.startswith(x, w)))
-    count = lambda of: F.transform("words", lambda w: F.struct(F.least(begun(of[0], w), F.lit(10)).alias("hits"), (begun(of[1], w) > 0).cast("int").alias("titled")))
-    rows = rows.withColumn("held", tx.once(F.array(*[F.coalesce(tx.tokens(F.col(c)), none) for c in ("norm", "titles")]), count))
-    rows = rows.where(F.col("complete") | F.forall("held", lambda h: h["hits"] + h["titled"] > 0))
-    each = F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + F.when(h["hits"] > 0, h["hits"]).otherwise(h["titled"]) + 5 * h["titled"])
+    begun = lambda of, w, c: F.when(F.contains(c, w), F.size(F.filter(of, lambda x: F.startswith(x, w)))).otherwise(0)
+    count = lambda of: F.transform("words", lambda w: F.struct(begun(of[0], w, "norm").alias("hits"), F.least(begun(of[1], w, "titles"), F.lit(1)).alias("titled")))
+    held = tx.once(F.array(*[F.coalesce(tx.tokens(F.col(c)), none) for c in ("norm", "titles")]), count)
     whole = F.when(F.coalesce(F.contains("norm", F.col("phrase")), F.lit(False)), 15).otherwise(0)
-    scored = rows.select("question", "article", "section", (each + whole).alias("score"))
+    # the join has dealt the rows by section, so these groups, of one row but for sections in several rows, need no shuffle
+    each = rows.select("question", "article", "section", "complete", whole.alias("whole"), F.posexplode_outer(held).alias("at", "held"))
+    each = each.groupBy("question", "article", "section", "at").agg(F.least(F.sum("held.hits"), F.lit(10)).alias("hits"), F.max("held.titled").alias("titled"), *[F.max(c).alias(c) for c in ("complete", "whole")])
+    score = F.sum(F.when(F.col("hits") > 0, F.col("hits")).otherwise(F.col("titled")) + 5 * F.col("titled"))
+    found = each.groupBy("question", "article", "section").agg(F.count_if(F.col("at").isNotNull() & (F.col("hits") + F.col("titled") == 0)).alias("missed"), F.max("complete").alias("complete"), (F.coalesce(score, F.lit(0)) + F.max("whole")).alias("score"))
+    scored = found.where(F.col("complete") | (F.col("missed") == 0)).select("question", "article", "section", "score")
     best = scored.groupBy("question", "article").agg(F.max_by(F.struct("score", "section"), F.struct(F.col("score"), -F.col("section"))).alias("x"))
     base = F.when(F.col("level") == "complete", 1000).when(F.col("level") == "moderate", 3).otherwise(0)
     best = best.join(strength, ["question", "article"], "left").select("question", "article", (base + F.col("x.score")).alias("score"), "x.section")

@@ -17,13 +17,14 @@ def plain(asked, sections, strength, k=5):
     out = []
     for q, words, phrase in asked:
         best = {}
-        for a, s, norm, titles in sections:
-            body, head = (re.findall(r"[^\W_]+", x or "") for x in (norm, titles))
+        for a, s in sorted({(a, s) for a, s, _, _ in sections}):
+            own = [(norm, titles) for *at, norm, titles in sections if at == [a, s]]
+            body, head = ([t for x in own for t in re.findall(r"[^\W_]+", x[c] or "")] for c in (0, 1))
             hits = [min(10, sum(bool(w) and t.startswith(w) for t in body)) for w in words or []]
             titled = [any(bool(w) and t.startswith(w) for t in head) for w in words or []]
             if level.get((q, a)) == "complete" or words and all(h or t for h, t in zip(hits, titled, strict=True)):
                 score = {"complete": 1000, "moderate": 3}.get(level.get((q, a)), 0) + sum(h or t for h, t in zip(hits, titled, strict=True)) + 5 * sum(titled)
-                score += 15 if phrase is not None and norm is not None and phrase in norm else 0
+                score += 15 if phrase is not None and any(phrase in (norm or "") for norm, _ in own) else 0
                 best[a] = max(best.get(a, (-1, 0)), (score, -s))
         top = sorted((-score, a, -s) for a, (score, s) in best.items())[:k]
         out += [(q, a, -score, s, rank) for rank, (score, a, s) in enumerate(top, 1)]
@@ -36,6 +37,7 @@ def test_section_search_against_plain(spark):
     line = lambda n: " ".join(random.choices(words, [1, 1, 2, 1, 3, 1, 1, 1, 30, 60], k=random.randint(0, n)))
     sections = [(a, s, line(30) if (a + s) % 17 else None, line(4) if a % 13 else None) for a in range(60) for s in range(random.randint(1, 4))]
     sections += [(90, 0, "-".join(["soleil"] * 14), "l'eau"), (91, 0, "le feu de sol", "x"), (92, 0, "", "")]
+    sections += [(93, 0, "l'eau de a", "feu"), (93, 0, "sol " * 8, "eau"), (93, 0, "sol " * 8, None)]  # one section in three rows
     asked = [(q, random.sample([*words, "so", "fe"], random.randint(1, 4)), random.choice([None, "a de", "de a"])) for q in range(40)]
     asked += [(50, ["sol", "eau"], "x"), (51, ["absent", "de"], "absent de"), (52, ["", "de"], None), (53, [], None), (54, None, None), (55, [None, "de"], None)]
     strength = [(q, a, random.choice(["complete", "moderate"])) for q in [*range(0, 40, 3), 51, 53, 54] for a in random.sample(range(60), 3)] + [(1, 92, "complete"), (52, 1, "moderate"), (2, 777, "complete")]
