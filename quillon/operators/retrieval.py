@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,37 +62,80 @@ def cut_vector(v: Column, size: int) -> Column:
     return F.transform(part, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int, block: int = 256, lot: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, held: int = 32768, lot: int = 4096) -> DataFrame:
     """Exact top n of ``vectors`` (vec_id, v) for each of ``queries`` (query_id, q): (query_id, vec_id, cosine, rank); a vector is not its own neighbour.
 
-    Queries stand in blocks of about ``block`` rows, vectors in lots of about ``lot``; a block meets a lot in one matrix product of
-    which only n rows a query leave, so neither side is broadcast and no pair is a row."""
-    blocks, lots = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (vectors, lot)))
-    gather = lambda key, v: F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(v).alias("v")))
-    left = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(gather("query_id", "q").alias("qs"))
-    right = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(lots)).alias("lot")).agg(gather("vec_id", "v").alias("vs"))
-    pairs = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(left, "block").select("qs", "vs")
+    Tiles of a block of queries and a part of the vectors, a task each: it holds its queries, at most about ``held``, and the best n of
+    each, while the vectors pass it by lots. So no pair is a row, and n rows of a query leave a tile. As many vectors as questions are sent
+    about so often as the square root of the tasks. A matrix product in single precision only tells which pairs come into question, by its
+    bound of error; their cosines are summed in order in double precision, as SQL does, so equal vectors tie and smaller ids win."""
+    tiles, n_q, n_v = 2 * queries.sparkSession.sparkContext.defaultParallelism, queries.count(), max(1, vectors.count())
+    blocks = max(1, -(-n_q // held), min(tiles, round(math.sqrt(3 * tiles * n_q / n_v))))
+    parts = -(-tiles // blocks)
+    of = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = queries.select(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), F.col("q").alias("v"), of("query_id", blocks).alias("block"), every(parts).alias("part"))
+    given = vectors.select(F.lit(1).alias("side"), F.col("vec_id").cast("long").alias("id"), "v", every(blocks).alias("block"), of("vec_id", parts).alias("part"))
+    dealt = asked.unionByName(given).repartitionById(blocks * parts, (F.col("block") * parts + F.col("part")).cast("int")).select("side", "id", "v").sortWithinPartitions("side")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def side(column, k):
-            rows = column[k].values
-            return np.asarray(rows.field("id")), np.asarray(rows.field("v").flatten(), float).reshape(len(rows), -1)
-
+        def side(batch, k):
+            rows = batch.filter(pa.array(np.asarray(batch.column("side")) == k))
+            return np.asarray(rows.column("id")), np.asarray(rows.column("v").flatten(), float).reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
+
+        def prepared(v):
+            norm = np.sqrt((v * v).sum(1))
+            plain = np.isfinite(norm).all() and ((norm == 0) | (norm > 1e-9) & (norm < 1e9)).all()  # else single precision may over- or underflow
+            return norm, plain
+
+        def meet(a, b, vi, v, v_norm, kind):
+            """Bring the best of queries a to b up to date by vectors v."""
+            error = 4 * (v.shape[1] + 8) * float(np.finfo(kind).eps) * norm[a:b] * v_norm.max()
+            cosine, least = q[a:b].astype(kind) @ v.astype(kind).T, top[a:b, -1].copy()
+            new = least == -np.inf
+            if new.any() and v.shape[0] > n:
+                cosine[qi[a:b, None] == vi[None, :]] = -np.inf
+                least[new] = np.partition(cosine[new], -n, axis=1)[:, -n]
+            rows, cols = np.divmod(np.flatnonzero(cosine >= (least - error).astype(kind)[:, None]), len(vi))
+            for k in range(0, len(rows), 1 << 16):
+                take(a + rows[k : k + (1 << 16)], vi, v, cols[k : k + (1 << 16)])
+
+        def take(rows, vi, v, cols):
+            exact, ids = np.cumsum(q[rows] * v[cols], axis=1)[:, -1], vi[cols]
+            keep = (ids != qi[rows]) & ((exact > top[rows, -1]) | (exact == top[rows, -1]) & (ids < own[rows, -1]))
+            if not keep.any():
+                return
+            u = np.unique(rows[keep])
+            rows = np.concatenate([np.repeat(u, n), rows[keep]])
+            ids, exact = np.concatenate([own[u].ravel(), ids[keep]]), np.concatenate([top[u].ravel(), exact[keep]])
+            order = np.lexsort((ids, -exact, rows))
+            at = np.searchsorted(rows[order], u)[:, None] + np.arange(n)
+            own[u], top[u] = ids[order][at], exact[order][at]
+
+        held_, qi = [], None
         for batch in batches:
-            for k in range(batch.num_rows):
-                (qi, q), (vi, v) = side(batch.column(0), k), side(batch.column(1), k)
-                cosine = q @ v.T
-                cosine[qi[:, None] == vi[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vi, cosine.shape), -cosine), axis=1)[:, :n]
-                made = np.take_along_axis(cosine, order, 1)
-                keep = (made > -np.inf).ravel()
-                cols = np.repeat(qi, order.shape[1])[keep], vi[order].ravel()[keep], made.ravel()[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "cosine"])
-
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, cosine double")
+            if (x := side(batch, 0))[0].size:
+                held_.append(x)
+            vi, v = side(batch, 1)
+            if not vi.size or not held_:
+                continue
+            if qi is None:
+                qi, q = np.concatenate([x[0] for x in held_]), np.concatenate([x[1] for x in held_])
+                norm, q_plain = prepared(q)
+                own, top = np.full((len(qi), n), np.iinfo(np.int64).max), np.full((len(qi), n), -np.inf)
+            for k in range(0, len(vi), lot):
+                v_norm, v_plain = prepared(v[k : k + lot])
+                for a in range(0, len(qi), 1024):
+                    meet(a, min(a + 1024, len(qi)), vi[k : k + lot], v[k : k + lot], v_norm, np.float32 if q_plain and v_plain else np.float64)
+        for a in range(0, len(qi) if qi is not None else 0, 1024):
+            keep = (top[a : a + 1024] > -np.inf).ravel()
+            cols = np.repeat(qi[a : a + 1024], n)[keep], own[a : a + 1024].ravel()[keep], top[a : a + 1024].ravel()[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "cosine"])
+
+    near = dealt.mapInArrow(run, "query_id long, vec_id long, cosine double")
     return cap(near, "query_id", n, F.desc("cosine"), "vec_id")
 
 
