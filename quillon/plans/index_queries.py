@@ -20,7 +20,7 @@ def _pass(store: Store, docs: DataFrame, first: bool) -> Snapshot:
     docs = docs.withColumn("late", (F.col("lang") == "en") & F.lit(first))
     listing = docs.select("path", F.octet_length("text").cast("long").alias("size"), F.when(F.col("lang") == "de", F.lit(1 - int(first))).otherwise(0).cast("long").alias("mtime"), F.sha2("text", 256).alias("hash"))
     title = F.left(F.split("text", "\n")[0], F.lit(60))
-    section = lambda x: F.array_join(F.slice(F.split(x, " "), 1, 2), " ")
+    section = lambda x: F.substring_index(x, " ", 2)
 
     def extract(due: DataFrame) -> DataFrame:
         lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit("[\\p{L}\\p{N}]")))
